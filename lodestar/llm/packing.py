@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -193,9 +194,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = END
     ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length, rank):
-        import pandas as pd
-
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         seq, off = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
         for n in np.unique(length):
             own = np.flatnonzero(length == n)

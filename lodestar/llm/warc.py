@@ -130,7 +130,9 @@ def rewrite(decisions: DataFrame, folder: str) -> DataFrame:
                 out.write(record(new, block))
         return pa.table({"archive": [path]})
 
-    return stored(decisions.groupBy("archive").applyInArrow(run, "archive string"), "warc-files")
+    # few rows stand for much work: tasks by number, which adaptive execution doesn't merge
+    dealt = decisions.repartition(partitions(decisions.sparkSession), "archive")
+    return stored(dealt.groupBy("archive").applyInArrow(run, "archive string"), "warc-files")
 
 
 def read_back(archives: DataFrame) -> DataFrame:
