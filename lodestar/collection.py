@@ -112,7 +112,7 @@ class Transaction:
         known = new.join(self.current.select(F.col(self.key).alias("_old")), F.col(self.key) == F.col("_old"), "left_semi").select(self.key)
         bad = known.union(twice).first()
         if bad is not None:
-            raise DuplicateIdError(f"{self.collection.model.name} has {bad[0]} already")
+            raise DuplicateIdError(f"{self.collection.model.model_name} has {bad[0]} already")
         self.current = self.current.unionByName(new)
         self._note(new)
 
@@ -193,12 +193,12 @@ class Database:
 
     def collection(self, model: Model, rows: DataFrame | Iterable | None = None) -> Collection:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(list(rows or []), model.schema())
-        own = self.collections[model.name] = Collection(model, df)
+        own = self.collections[model.model_name] = Collection(model, df)
         return own
 
     def open(self, model: Model, path: str | None = None) -> Collection:
         """A collection over a parquet table; columns that the model has and the table lacks are null."""
-        return self.collection(model, self.spark.read.parquet(path or f"{self.folder}/{model.name}"))
+        return self.collection(model, self.spark.read.parquet(path or f"{self.folder}/{model.model_name}"))
 
     def save(self, name: str, files: int | None = None, partition_by: Sequence[str] = ()) -> str:
         """Write a collection to a new table and read it from there, so that plans don't grow."""

@@ -180,7 +180,7 @@ def _valid(pattern: str) -> bool:
         spark._jvm.java.util.regex.Pattern.compile(pattern)
         return True
     except Exception as e:
-        if "PatternSyntaxException" in str(e):
+        if type(e).__name__ == "IllegalArgumentException" or "PatternSyntaxException" in str(e):
             return False
         raise
 

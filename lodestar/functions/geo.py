@@ -50,7 +50,7 @@ class Geo:
         return (min(lats) + max(lats)) / 2, (min(lons) + max(lons)) / 2
 
     def row(self) -> dict:
-        return {"kind": self.kind, "parts": [[{"lat": a, "lon": b} for a, b in p] for p in self.parts]}
+        return {"kind": self.kind, "parts": [[{"lat": float(a), "lon": float(b)} for a, b in p] for p in self.parts]}
 
     def column(self) -> Column:
         return F.struct(F.lit(self.kind).alias("kind"), F.array(*[F.array(*[F.struct(F.lit(float(a)).alias("lat"), F.lit(float(b)).alias("lon")) for a, b in p]) for p in self.parts]).alias("parts"))

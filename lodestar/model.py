@@ -213,10 +213,10 @@ class Sort:
 
 
 class Model:
-    """Fields by attribute; ``key`` names the id."""
+    """Fields by attribute, or by item where a method has their name; ``key`` names the id."""
 
     def __init__(self, name: str, *fields: Field, key: str = "_id", strict: bool = False):
-        self.name, self.key, self.strict = name, key, strict
+        self.model_name, self.key, self.strict = name, key, strict
         self.fields = {f.name: f for f in fields}
         if key not in self.fields:
             self.fields = {key: Field(key, indexed=True, unique=True), **self.fields}
@@ -225,7 +225,10 @@ class Model:
         try:
             return self.__dict__["fields"][name]
         except KeyError:
-            raise AttributeError(f"{self.__dict__.get('name')} has no field {name}") from None
+            raise AttributeError(f"{self.__dict__.get('model_name')} has no field {name}") from None
+
+    def __getitem__(self, name: str) -> Field:
+        return self.fields[name]
 
     def field(self, name: str) -> Field:
         return self.fields.get(name) or Field(name)
@@ -254,7 +257,7 @@ class Model:
 
     def check(self, names: set[str]) -> None:
         if self.strict and (bad := sorted(n for n in names if not self.field(n.split(".")[0]).indexed)):
-            raise NonIndexedFieldError(f"not indexed in {self.name}: {', '.join(bad)}")
+            raise NonIndexedFieldError(f"not indexed in {self.model_name}: {', '.join(bad)}")
 
 
 def tokens_of(f: Field) -> Column:
