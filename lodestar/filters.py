@@ -3,6 +3,10 @@
 Rules where engines differ are fixed here: ``!=`` holds for nulls; string tests never match nulls and
 take ``%`` and ``_`` literally; equality of arrays means containing all; regular expressions search;
 ``must_not`` inside nested elements excludes the whole array if any element matches.
+
+A column may be null where a filter doesn't match: conjunctions and disjunctions keep it so, rows are
+selected only where it is true, and negations turn it into false first. Comparisons thus stay bare, and
+reach the scans.
 """
 
 from __future__ import annotations
@@ -65,7 +69,9 @@ def _literal(value: Any) -> Column:
 def _any(scope: Scope, name: str, test: Callable[[Column], Column]) -> Column:
     """A test of a value, or of any element of an array; null never passes."""
     c = scope.get(name)
-    return F.coalesce(F.exists(c, lambda x: F.coalesce(test(x.cast("string")), F.lit(False))) if scope.is_array(name) else test(c.cast("string")), F.lit(False))
+    if scope.is_array(name):
+        return F.exists(c, lambda x: F.coalesce(test(x.cast("string")), F.lit(False)))
+    return test(c if isinstance(scope.kind(name), T.StringType) else c.cast("string"))
 
 
 @dataclass(frozen=True)
@@ -95,7 +101,7 @@ class NotEquals(Filter):
     value: Any
 
     def column(self, scope: Scope) -> Column:
-        return ~Equals(self.field, self.value).column(scope)
+        return ~F.coalesce(Equals(self.field, self.value).column(scope), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -109,7 +115,7 @@ class In(Filter):
             return F.lit(False)
         if scope.is_array(self.field):
             return F.coalesce(F.arrays_overlap(c, _literal(some)), F.lit(False))
-        return F.coalesce(c.isin(some), F.lit(False))
+        return c.isin(some)
 
 
 @dataclass(frozen=True)
@@ -124,16 +130,16 @@ class Range(Filter):
         c = scope.get(self.field)
 
         def test(x: Column) -> Column:
-            out = x.isNotNull()
+            bounds = []
             if self.low is not None:
-                out = out & (x >= _literal(self.low) if self.low_included else x > _literal(self.low))
+                bounds.append(x >= _literal(self.low) if self.low_included else x > _literal(self.low))
             if self.high is not None:
-                out = out & (x <= _literal(self.high) if self.high_included else x < _literal(self.high))
-            return out
+                bounds.append(x <= _literal(self.high) if self.high_included else x < _literal(self.high))
+            return bounds[0] & bounds[1] if len(bounds) == 2 else bounds[0] if bounds else x.isNotNull()
 
         if scope.is_array(self.field):
             return F.coalesce(F.exists(c, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
-        return F.coalesce(test(c), F.lit(False))
+        return test(c)
 
 
 @dataclass(frozen=True)
@@ -308,12 +314,13 @@ class Multi(Filter):
             out = own if out is None else out & own
         should = self._of("should")
         if should and self.min_should > 0:
-            each = [F.coalesce(c.filter.column(scope), F.lit(False)) for c in should]
+            each = [c.filter.column(scope) for c in should]
             if self.min_should == 1:
                 own = each[0]
                 for e in each[1:]:
                     own = own | e
             else:
+                each = [F.coalesce(e, F.lit(False)) for e in each]
                 own = sum((e.cast("int") for e in each[1:]), each[0].cast("int")) >= self.min_should
             out = own if out is None else out & own
         return F.lit(True) if out is None else out
