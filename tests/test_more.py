@@ -69,3 +69,37 @@ def test_child_filter_is_a_semi_join(spark):
 def test_top_k_is_one_operator(spark):
     o = orders(spark, SMALL)
     assert "TakeOrderedAndProject" in plan(o.query().sort(o.model.o_totalprice.desc()).limit(5).df)
+
+
+def test_service(spark):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from lodestar.sources import service
+
+    db = Database(spark)
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "_id string, n int")
+    db.collection(Model.of("things", df), df)
+    server = service.serve(db)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(**request):
+        url = f"http://127.0.0.1:{server.server_port}"
+        with urllib.request.urlopen(urllib.request.Request(url, json.dumps(request).encode()), timeout=60) as r:
+            return [json.loads(x) for x in r.read().splitlines()]
+
+    try:
+        assert ask(op="ListStores") == [["things"]] and ask(op="Count", store="things") == [2]
+        assert ask(op="Get", store="things", id="a") == [{"_id": "a", "n": 1}]
+        assert ask(op="Upsert", store="things", docs=[{"_id": "c", "n": 3}]) == [1]
+        ask(op="Delete", store="things", ids=["a"])
+        assert ask(op="ListDocs", store="things", offset=0, limit=5) == [[{"_id": "b", "n": 2}, {"_id": "c", "n": 3}]]
+        assert sorted(r["_id"] for r in ask(op="Stream", store="things")) == ["b", "c"]
+        ask(op="Truncate", store="things")
+        assert ask(op="Count", store="things") == [0]
+        with pytest.raises(urllib.error.HTTPError):
+            ask(op="Fly", store="things")
+    finally:
+        server.shutdown()
