@@ -33,8 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
 
 
+#: Folders made by this process, for :func:`release`.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/lodestar/{what}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/lodestar/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables and files that operators of this process left in the shared folder.
+
+    Results are read from them until they are written elsewhere, so this is for the caller to decide.
+    """
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

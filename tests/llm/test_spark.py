@@ -1,6 +1,7 @@
 """The operators on small tables: brute force, edge cases, recovery of files."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -290,6 +291,15 @@ def test_pipeline_against_brute_force(spark):
         assert stage(spark, docs, SMALL).columns == docs.columns, name
 
 
+def test_release(spark):
+    df = common.stored(spark.range(3), "kept")
+    assert df.count() == 3
+    path = common._MADE[-1].removeprefix("file:")
+    assert os.path.isdir("/" + path.lstrip("/"))
+    common.release(spark)
+    assert not common._MADE and not os.path.exists("/" + path.lstrip("/"))
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(-5, i) for i in range(5000, 5040)]
