@@ -7,14 +7,17 @@ bucket are sorted, and neighbours compared word for word.
 
 Most minimisers occur once in the corpus and their windows can't repeat. A first pass counts them all
 and keeps a bitmap of fixed size (2^``bits``) of those that occur again; a super-k-mer whose bit isn't
-set stays where it is. Bits set by chance only make more strings travel. Buckets of over ``hot``
-occurrences (copies or passages in very many documents) aren't gathered: their windows are counted by
-128-bit hashes, aggregated before the shuffle, and joined back, which adaptive execution can split.
+set stays where it is. Bits set by chance only make more strings travel. In buckets of over ``hot``
+occurrences (copies or passages in very many documents) equal strings are folded, before the shuffle,
+into one with its count; what is found in it is joined back to its documents, a join that adaptive
+execution can split. If over ``hot`` distinct strings are left, the bucket isn't gathered: its windows
+are counted by 128-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +124,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, m: int = M, bits: int
     discard(minis)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, split = again.value, many.value
+        repeated, common = again.value, many.value
         for batch in pieces_of(batches, 64):
             rows: list[tuple] = []
             for t, *key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -131,63 +134,84 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, m: int = M, bits: int
                     ends = np.append(cuts[1:], len(least))
                     value = least[cuts]
                     go = _in(repeated, value, bits)
-                    for a, b, v, wide in zip(cuts[go].tolist(), ends[go].tolist(), value[go].view(np.int64).tolist(), _in(split, value[go], bits).tolist(), strict=True):
-                        if wide:
-                            for w in range(a, b):
-                                d = xxhash.xxh3_128_digest(b" ".join(words[w : w + window]))
-                                rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), *key, at + w, None))
-                        else:
-                            rows += [(v, None, *key, at + w, b" ".join(words[w : min(w + RUN, b) + window - 1])) for w in range(a, b, RUN)]
+                    for a, b, v, wide in zip(cuts[go].tolist(), ends[go].tolist(), value[go].view(np.int64).tolist(), _in(common, value[go], bits).tolist(), strict=True):
+                        rows += [(v, wide, *key, at + w, b" ".join(words[w : min(w + RUN, b) + window - 1])) for w in range(a, b, RUN)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 6, pa.binary()), strict=True)], ["k1", "k2", "doc_id", "h1", "h2", "at", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary()), strict=True)], ["mini", "wide", "doc_id", "h1", "h2", "at", "packed"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; a bucket holds at most ``hot`` occurrences."""
-
-        def windows(bucket: list[dict]) -> list[tuple]:
-            every = []
-            for i, r in enumerate(bucket):
-                s = r["packed"]
-                edges = [0, *[k + 1 for k in np.flatnonzero(np.frombuffer(s, np.uint8) == 32).tolist()], len(s) + 1]
-                every += [(s[edges[k] : edges[k + window] - 1], i, k) for k in range(len(edges) - window)]
-            every.sort()
-            marks = []
-            for k, (w, i, at) in enumerate(every):
-                if k and every[k - 1][0] == w or k + 1 < len(every) and every[k + 1][0] == w:
-                    marks.append((i, at))
-            marks.sort()
-            out = []
-            for i, a, b in _spans(marks):
-                r = bucket[i]
-                out.append((r["doc_id"], r["h1"], r["h2"], r["at"] + a, r["at"] + b + window - 1))
-            return out
-
-        bucket, found = [], []
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*found, strict=True)) or [[]] * 5
-            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "h1", "h2", "a", "b"])
-            found.clear()
-            return out
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if bucket and bucket[0]["k1"] != r["k1"]:
-                    found += windows(bucket)
-                    bucket = []
-                bucket.append(r)
-            if len(found) > 20_000:
-                yield flush()
-        if bucket:
-            found += windows(bucket)
-        yield flush()
-
-    sent = stored(keyed.mapInArrow(send, "k1 long, k2 long, doc_id long, h1 long, h2 long, at long, packed binary"), "super-k-mers")
-    packed = sent.where("packed IS NOT NULL").repartition(partitions(spark), "k1").sortWithinPartitions("k1").mapInArrow(sort, _SPAN)
-    hashed = sent.where("packed IS NULL")
-    more = hashed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
-    wide = hashed.join(more, ["k1", "k2"]).select("doc_id", "h1", "h2", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    return packed.union(wide)
+        """Spans of documents; a bucket holds at most ``hot`` strings."""
+        rows = ((r["doc_id"], r["h1"], r["h2"], r["at"] + a, r["at"] + b) for bucket in _buckets(batches) for i, a, b in repeats([x["packed"] for x in bucket], [1] * len(bucket), window) for r in (bucket[i],))
+        yield from _batches(rows, ("doc_id", "h1", "h2", "a", "b"), (pa.int64(),) * 5)
+
+    def sort_distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans within distinct strings, counted as often as they occur."""
+        rows = ((bucket[i]["mini"], bucket[i]["packed"], a, b) for bucket in _buckets(batches) for i, a, b in repeats([x["packed"] for x in bucket], [x["times"] for x in bucket], window))
+        yield from _batches(rows, ("mini", "packed", "a", "b"), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows of distinct strings by 128 hashed bits."""
+        half = lambda d, k: int.from_bytes(d[8 * k : 8 * k + 8], "little", signed=True)
+        strings = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        hashed = ((xxhash.xxh3_128_digest(w), mini, packed, times, k) for mini, packed, times in strings for k, w in enumerate(_windows(packed, window)))
+        rows = ((half(d, 0), half(d, 1), *rest) for d, *rest in hashed)
+        yield from _batches(rows, ("w1", "w2", "mini", "packed", "times", "a"), (*[pa.int64()] * 3, pa.binary(), pa.int64(), pa.int64()))
+
+    sent = stored(keyed.mapInArrow(send, "mini long, wide boolean, doc_id long, h1 long, h2 long, at long, packed binary"), "super-k-mers")
+    plain = sent.where("NOT wide").drop("wide").repartition(partitions(spark), "mini").sortWithinPartitions("mini").mapInArrow(sort, _SPAN)
+    wide = sent.where("wide")
+    if wide.isEmpty():
+        return plain
+    # strings that many documents share are one row each before they meet
+    distinct = stored(wide.groupBy("mini", "packed").agg(F.count("*").alias("times")), "distinct-super-k-mers")
+    large = distinct.groupBy("mini").count().where(F.col("count") > hot).select("mini")
+    spans = distinct.join(large, "mini", "left_anti").repartition(partitions(spark), "mini").sortWithinPartitions("mini").mapInArrow(sort_distinct, "mini long, packed binary, a long, b long")
+    exploded = stored(distinct.join(large, "mini", "left_semi").select("mini", "packed", "times").mapInArrow(explode, "w1 long, w2 long, mini long, packed binary, times long, a long"), "windows")
+    more = exploded.groupBy("w1", "w2").agg(F.sum("times").alias("n")).where("n > 1").select("w1", "w2")
+    spans = spans.union(exploded.join(more, ["w1", "w2"]).select("mini", "packed", "a", (F.col("a") + window).alias("b")))
+    # one row a string, so that the join's other side is what adaptive execution may split
+    folded = spans.groupBy("mini", "packed").agg(F.collect_set(F.struct("a", "b")).alias("own"))
+    back = wide.join(folded, ["mini", "packed"]).select("doc_id", "h1", "h2", "at", F.explode("own").alias("s"))
+    return plain.union(back.select("doc_id", "h1", "h2", (F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.b")).alias("b")))
+
+
+def _windows(packed: bytes, window: int) -> list[bytes]:
+    """The windows of a packed string, as slices."""
+    edges = [0, *(np.flatnonzero(np.frombuffer(packed, np.uint8) == 32) + 1).tolist(), len(packed) + 1]
+    return [packed[edges[k] : edges[k + window] - 1] for k in range(len(edges) - window)]
+
+
+def repeats(strings: list[bytes], times: list[int], window: int) -> list[tuple[int, int, int]]:
+    """(string, first word, last word + 1) of what repeated windows cover, by sorting all windows of a bucket.
+
+    A string that occurs more than once repeats as a whole.
+    """
+    every = [(w, i, k) for i, s in enumerate(strings) for k, w in enumerate(_windows(s, window))]
+    every.sort()
+    marks = []
+    for k, (w, i, at) in enumerate(every):
+        if times[i] > 1 or k and every[k - 1][0] == w or k + 1 < len(every) and every[k + 1][0] == w:
+            marks.append((i, at))
+    marks.sort()
+    return [(i, a, b + window - 1) for i, a, b in _spans(marks)]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of each minimiser; they come sorted by it."""
+    bucket: list[dict] = []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if bucket and bucket[0]["mini"] != r["mini"]:
+                yield bucket
+                bucket = []
+            bucket.append(r)
+    if bucket:
+        yield bucket
+
+
+def _batches(rows: Iterator[tuple], names: tuple, kinds: tuple, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    while part := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], list(names))
 
 
 def kept_words(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
