@@ -17,11 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, partitions, stored
+from .common import doc_columns, partitions
 
 UNIFORM, SIGNED = 32, 128
 LANES = UNIFORM + SIGNED
@@ -89,9 +88,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a == b).all(1), 1.0, np.clip(cos, 0.0, 1.0))
 
 
-_FIELDS = [("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())]
-_SCHEMA = "kind int, part int, doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text string"
-_DONE, _FIRST, _WAITING = 0, 1, 2
+_NAMES = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def edit(text: str, following: str) -> str:
@@ -100,16 +98,16 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _digest(docs: list[int | None], texts: list[str], after: list[str]) -> list[pa.Array]:
-    """The columns from doc_id to near_next for documents whose next ones are known."""
+def _digest(docs: list[int | None], texts: list[str], after: list[str]) -> pa.RecordBatch:
+    """The result for documents whose next ones are known."""
     edited = [edit(t, n) for t, n in zip(texts, after, strict=True)]
-    own = fingerprints([*texts, after[-1]])
+    # most next texts are the following row's own
+    more = [k for k, n in enumerate(after) if k + 1 == len(texts) or n is not texts[k + 1]]
+    prints = fingerprints([*texts, *(after[k] for k in more)])
+    own, nexts = prints[: len(texts)], np.roll(prints[: len(texts)], -1, axis=0)
+    nexts[more] = prints[len(texts) :]
     changed = fingerprints(edited)
-    nexts = own[1:]
-    if any(a is not b for a, b in zip(after, texts[1:], strict=False)):
-        nexts = fingerprints(after)
-    own = own[:-1]
-    return [
+    columns = [
         pa.array(docs, pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
@@ -118,51 +116,60 @@ def _digest(docs: list[int | None], texts: list[str], after: list[str]) -> list[
         pa.array(likeness(own, changed)),
         pa.array(likeness(own, nexts)),
     ]
+    return pa.RecordBatch.from_arrays(columns, list(_NAMES))
+
+
+def _bucket(bounds: list[int]) -> Column:
+    """How many of the descending bounds lie above doc_id, by binary search; null comes last."""
+
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"CASE WHEN doc_id >= {bounds[middle]}L THEN {tree(low, middle)} ELSE {tree(middle + 1, high)} END"
+
+    return F.expr(f"CASE WHEN doc_id IS NULL THEN {len(bounds)} ELSE {tree(0, len(bounds))} END")
+
+
+#: Ranges of doc_id at most; their bounds and first documents' ids are known to the driver.
+RANGES = 4096
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, its edited text's, and their likeness and that to the next document.
 
-    Documents are dealt out by ranges of descending doc_id (nulls last, equal ids by text) and sorted;
-    each task then needs one document beyond its own. It hands on its first document, and its last
-    one unfinished, in the written result; one row a partition is joined to finish them. The last
-    document's next is the first. Null texts count as empty, a lone document is its own next, empty
-    tables give no rows, other columns play no part. Fingerprints are little-endian uint16 lanes.
+    Documents are dealt out by ranges of descending doc_id (nulls last, equal ids by text) and sorted.
+    A range also needs the first document of the next one: it is sent to both, marked as being ahead,
+    so texts are shuffled once and nothing is stored. The last document's next is the first. Null texts
+    count as empty, a lone document is its own next, empty tables give no rows, other columns play no
+    part. Fingerprints are little-endian uint16 lanes.
     """
-    spark = docs.sparkSession
-
-    def row(kind: int, part: int, doc: int | None, text: str) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip((kind, part, doc, None, None, None, None, None, None, text), _FIELDS, strict=True)], [n for n, _ in _FIELDS])
+    spark, rows = docs.sparkSession, doc_columns(docs)
+    n = min(partitions(spark), RANGES)
+    found = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000).alias("at")).first()["at"]
+    bucket = _bucket(sorted(set(found or []), reverse=True))
+    heads = {r["bucket"]: r["head"] for r in rows.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}
+    present = sorted(heads)
+    ahead = spark.createDataFrame([(heads[b], present[k - 1]) for k, b in enumerate(present)], "head long, before int")
+    own = rows.withColumn("bucket", bucket)
+    # a row a range at most, so it may be broadcast
+    marked = own.join(F.broadcast(ahead), F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    places = F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ahead")), F.struct(F.col("before").alias("b"), F.lit(True).alias("ahead")))
+    sent = marked.select("doc_id", "text", F.explode(F.filter(places, lambda x: x["b"].isNotNull())).alias("p")).select("p.b", "p.ahead", "doc_id", "text")
+    dealt = sent.repartitionByRange(n, "b").sortWithinPartitions("b", "ahead", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), None
+        held: tuple | None = None  # a document whose next one is still to come
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
-                ids, texts = (c.to_pylist() for c in batch.slice(i, 128).columns)
-                if held is None:
-                    yield row(_FIRST, part, ids[0], texts[0])
-                else:
-                    ids, texts = [held[0], *ids], [held[1], *texts]
-                held = ids[-1], texts[-1]
-                if len(ids) > 1:
-                    cols = _digest(ids[:-1], texts[:-1], texts[1:])
-                    n = len(ids) - 1
-                    yield pa.RecordBatch.from_arrays([pa.array([_DONE] * n, pa.int32()), pa.array([part] * n, pa.int32()), *cols, pa.nulls(n, pa.string())], [x for x, _ in _FIELDS])
-        if held is not None:
-            yield row(_WAITING, part, *held)
-
-    order = F.col("doc_id").desc_nulls_last()
-    found = stored(doc_columns(docs).repartitionByRange(partitions(spark), order).sortWithinPartitions(order, "text").mapInArrow(run, _SCHEMA), "lthash")
-    parts = sorted(r["part"] for r in found.where(F.col("kind") == _FIRST).select("part").collect())
-    following = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next int")
-    firsts = found.where(F.col("kind") == _FIRST).select(F.col("part").alias("next"), F.col("text").alias("after"))
-    waiting = found.where(F.col("kind") == _WAITING).select("part", "doc_id", "text").join(following, "part").join(firsts, "next").select("doc_id", "text", "after")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc, text, after = (c[i].as_py() for c in batch.columns)
-                yield pa.RecordBatch.from_arrays(_digest([doc], [text], [after]), [n for n, _ in _FIELDS[2:9]])
-
-    names = [n for n, _ in _FIELDS[2:9]]
-    return found.where(F.col("kind") == _DONE).select(names).union(waiting.mapInArrow(finish, ", ".join(_SCHEMA.split(", ")[2:9])).select(names))
+                ids, texts, after = [], [], []
+                for b, first, doc, text in zip(*(c.to_pylist() for c in batch.slice(i, 128).columns), strict=True):
+                    if held is not None and held[0] == b:
+                        ids.append(held[1])
+                        texts.append(held[2])
+                        after.append(text)
+                    held = None if first else (b, doc, text)
+                if ids:
+                    yield _digest(ids, texts, after)
+
+    return dealt.mapInArrow(run, _SCHEMA)
