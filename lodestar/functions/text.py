@@ -41,18 +41,15 @@ def highlight(c: Column, wanted: list[str], before: str = "<em>", after: str = "
     return F.regexp_replace(c, rf"(?i)(?<!\S)({words})(?!\S)", f"{before}$1{after}")
 
 
-def _times(token_array: Column, token: str) -> Column:
-    return F.size(F.filter(token_array, lambda x: x == token))
-
-
 def bm25(df: DataFrame, key: str, text: Column, wanted: list[str], score: str = "score", kind: str = "space") -> DataFrame:
     """(key, score) of the rows with any wanted token.
 
-    One pass counts the wanted tokens in each row in place (no explode); the corpus figures are one
-    aggregated row, joined as such.
+    Texts are split once a pass and their tokens counted by row, combined before the shuffle; the corpus
+    figures are one aggregated row, joined as such. Keys are taken to be unique.
     """
     t = tokens(text, kind)
-    counted = df.select(F.col(key), F.size(t).alias("n"), *[_times(t, w).alias(f"tf{i}") for i, w in enumerate(wanted)])
+    each = df.select(F.col(key), F.explode_outer(t).alias("t"))
+    counted = each.groupBy(key).agg(F.count("t").alias("n"), *[F.count_if(F.col("t") == w).alias(f"tf{i}") for i, w in enumerate(wanted)])
     figures = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("avg_n"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(wanted))])
     parts = F.lit(0.0)
     for i in range(len(wanted)):
