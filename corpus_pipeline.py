@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import packing, simhash, substring, toxicity
+from lodestar.llm import nearcopies, packing, substring, toxicity
 from lodestar.llm.common import stored, table
 from lodestar.llm.queries import tokenizer
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: its smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each component of texts whose 5-word shingles have a Jaccard similarity of 0.8: its smallest doc_id."""
+    return nearcopies.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,7 +116,11 @@ def keep_one(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     one name, one of them stays. All columns are kept, clashing names included.
     """
     found = stored(fingerprints(docs, words), "simhash")
-    comp = components(found)
+    return keep_least(docs, found, components(found))
+
+
+def keep_least(docs: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame:
+    """:func:`keep_one` from the documents' nodes (doc_id, fp, h1, h2) and the nodes' components (fp, comp)."""
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     best = found.groupBy("fp").agg(F.min(name).alias("best"))
     kept = best.join(comp, "fp").groupBy("comp").agg(F.min("best").alias("best")).select("best.*")
