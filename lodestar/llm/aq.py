@@ -7,8 +7,8 @@ codebook instead of one. The sum's length is stored with the code.
 
 A query is scored against codes alone: its inner products with all codewords are tables, a code's
 score is a sum of look-ups divided by the stored length. Codes and queries are packed into blocks;
-pairs of blocks are scored in tasks of bounded size, each query's best of a block are kept, and the
-best of all are ranked again by the exact cosine of the original vectors in double precision.
+pairs of blocks are scored in tasks of bounded size, each query's best of a block are kept, and all of
+these are ranked again by the exact cosine of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -163,8 +163,6 @@ def nearest(spark: SparkSession, embeddings: DataFrame, every: int = 50, k: int
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), q_ids[n])), pa.array(ids[found]), pa.array(score[found].astype(np.float32))], ["query_id", "vec_id", "guess"])
 
     guessed = pairs.mapInArrow(search, "query_id long, vec_id long, guess float")
-    if n_blocks > 1:
-        guessed = guessed.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id"))).where(F.col("place") <= candidates)
     dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     exact = guessed.select("query_id", "vec_id").join(vectors.select("vec_id", "v", size("v").alias("lv")), "vec_id").join(wanted.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), size("v").alias("lq")), "query_id").select("query_id", "vec_id", (dot / (F.col("lq") * F.col("lv"))).alias("score"))
