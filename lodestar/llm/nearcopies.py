@@ -1,13 +1,18 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by exact Jaccard similarity of word shingles, SimHash first.
 
 A text is the set of its shingles' 64-bit hashes; two texts are near copies if their sets' Jaccard
-similarity is at least 4/5. A pair that similar shares one of each set's first fifth (and one) in any
-common order, so only these prefixes meet: no pair is lost. Shingles that are common in a sample come
-last in the order, which keeps the groups that share one small; the order changes the work alone.
-
-Groups are compared with one leader each first (the set that shares most), and pairs that its links
-already join are left out when all pairs of what remains are checked. So many copies of one text
-cost a link each, not a pair each.
+similarity is at least 4/5. Candidates come from two sources, and every one is checked exactly:
+
+1. SimHash fingerprints of the same shingles that the segment-popcount range join of :mod:`.simhash`
+   brings together (2 or fewer differing bits). Copies with few changes meet there.
+2. Prefixes, for what no small radius reaches: a pair that similar shares one of each set's first fifth
+   (and one) in any common order, so only these prefixes meet and no pair is lost. Shingles that are
+   common in a sample come last in the order, which keeps the groups that share one small; the order
+   changes the work alone.
+
+Groups are compared with one leader each first (the set that shares most; of equal fingerprints the
+least set), and pairs that links already join are left out when all pairs of what remains are checked.
+So many copies of one text cost a link each, not a pair each.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import connected_components, discard, doc_columns, pieces_of, stored
 from .simhash import SEED, keep_least
 from .substring import BITS, _bitmap, _in
@@ -27,33 +33,41 @@ from .substring import BITS, _bitmap, _in
 SHINGLE = 5
 #: Sets whose shingles are counted for the order, and how many of the commonest are set apart.
 SAMPLE, COMMON = 4_000, 100_000
-#: Hashes of each set that are compared first.
-SKETCH = 64
-
-
-def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct XXH64 of the text's shingles, words as in :func:`simhash.fingerprint`; none for no words."""
-    own = text.encode().lower().split()
-    if not own:
-        return np.zeros(0, np.int64)
-    grams = map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False)) if len(own) >= words else [b" ".join(own)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(g, SEED) for g in grams], np.uint64).view(np.int64))
+#: Hashes of each set that are compared first, and the share (one in so many) of them that has to agree.
+SKETCH, AGREE = 64, 4
 
 
 def sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (a hash of the shingle set), two hashes of the text, and the set; a row per document."""
+    """A row per document: doc_id, fp (a hash of the shingle set), two hashes of the text, the SimHash fingerprint, the set (sorted).
+
+    Words are those of :func:`simhash.fingerprint`; a text without any has the empty set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
-            own = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            every = [simhash.shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            own = [np.unique(h.view(np.int64)) for h in every]
             fp = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in own], np.uint64).view(np.int64)
+            bits = np.array([simhash.majority(h) if len(h) else 0 for h in every], np.uint64).view(np.int64)
             grams = pa.ListArray.from_arrays(np.cumsum([0, *map(len, own)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2), batch.column(3), grams], ["doc_id", "fp", "h1", "h2", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2), batch.column(3), pa.array(bits), grams], ["doc_id", "fp", "h1", "h2", "bits", "grams"])
 
     text = F.col("text")
     keyed = doc_columns(docs).withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit("second"), text)})
-    return keyed.mapInArrow(run, "doc_id long, fp long, h1 long, h2 long, grams array<long>")
+    return keyed.mapInArrow(run, "doc_id long, fp long, h1 long, h2 long, bits long, grams array<long>")
+
+
+def close_fingerprints(found: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets: each with the least one of its fingerprint, and the least ones of fingerprints in reach."""
+    held = found.select("fp", "bits").distinct()
+    least = stored(held.groupBy("bits").agg(F.min("fp").alias("least")), "near-bits")
+    same = held.join(least, "bits").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    near = simhash.links(least.select(F.col("bits").alias("fp")))
+    a, b = least.select(F.col("bits").alias("u"), F.col("least").alias("x")), least.select(F.col("bits").alias("v"), F.col("least").alias("y"))
+    across = near.join(a, "u").join(b, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    out = stored(same.union(across).distinct(), "near-close")
+    discard(least)
+    return out
 
 
 def prefixes(found: DataFrame) -> DataFrame:
@@ -103,9 +117,11 @@ def _may(a: str, b: str) -> str:
 def similar(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets' Jaccard similarity is at least 4/5.
 
-    Whole sets travel only for pairs whose least hashes (SKETCH of each) are half in common; those of
-    similar sets are expected to be four fifths so, and short sets are compared whole.
+    Whole sets travel only for pairs of which one in AGREE of the least hashes (SKETCH of each) is in
+    common. Four fifths of them are expected to be in similar sets; a quarter or less, with a chance
+    below 1e-19. Sets of up to SKETCH shingles are compared whole at once.
     """
+
     def compared(of: DataFrame, part: Column, where: str, what: str) -> DataFrame:
         ends = of.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
         held = stored(found.select("fp", part.alias("grams")).join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams")), "near-sets")
@@ -114,7 +130,7 @@ def similar(found: DataFrame, pairs: DataFrame) -> DataFrame:
         discard(held)
         return out
 
-    alike = compared(pairs, F.slice("grams", 1, SKETCH), "2 * size(array_intersect(x, y)) >= least(size(x), size(y))", "near-alike")
+    alike = compared(pairs, F.slice("grams", 1, SKETCH), f"{AGREE} * size(array_intersect(x, y)) >= least(size(x), size(y))", "near-alike")
     links = compared(alike, F.col("grams"), "9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))", "near-links")
     discard(alike)
     return links
@@ -122,22 +138,26 @@ def similar(found: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def links(found: DataFrame) -> DataFrame:
     """Pairs of similar sets that connect what all similar pairs connect."""
+    close = close_fingerprints(found)
+    none = similar(found, close)
     keys = stored(prefixes(found), "near-prefixes")
     shared = keys.groupBy("g").agg(F.count("*").alias("held")).where("held > 1")
     met = stored(keys.join(shared, "g"), "near-met")
+    discard(keys)
     score = met.groupBy("fp").agg(F.sum("held").alias("score"))
     scored = met.join(score, "fp")
     leader = scored.groupBy("g").agg(F.max(F.struct("score", "fp", "n", "at")).alias("l")).select("g", "l.fp", "l.n", "l.at")
     first = met.alias("a").join(leader.alias("b"), F.expr(f"a.g = b.g AND a.fp <> b.fp AND {_may('a', 'b')}"))
     least = lambda df: df.select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct()
-    one = similar(found, stored(least(first), "near-pairs"))
+    one = none.union(similar(found, stored(least(first).join(close, ["u", "v"], "left_anti"), "near-pairs")))
     comp = stored(connected_components(one).select(F.col("node").alias("fp"), "comp"), "near-comp")
     named = met.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     mixed = named.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("g")
     left = stored(named.join(mixed, "g", "left_semi"), "near-left")
+    discard(met, close)
     second = left.alias("a").join(left.alias("b"), F.expr(f"a.g = b.g AND a.fp < b.fp AND a.comp <> b.comp AND {_may('a', 'b')}"))
     two = similar(found, stored(least(second), "near-pairs"))
-    discard(keys, met, left, comp)
+    discard(left, comp)
     return one.union(two)
 
 

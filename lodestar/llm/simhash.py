@@ -31,15 +31,26 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
     Words are runs of anything but ASCII white space, A-Z lower-cased; fewer words than a shingle make
     one shingle, none make fingerprint zero.
     """
+    h = shingle_hashes(text, words)
+    return majority(h) if len(h) else 0
+
+
+def shingle_hashes(text: str, words: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle of the text, in order and with repeats, as uint64."""
     own = text.encode().lower().split()  # bytes: only A-Z change, only ASCII white space parts
     if not own:
-        return 0
-    grams = list(map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False))) if len(own) >= words else [b" ".join(own)]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for i in range(0, len(grams), 8192):
-        h = np.array([digest(g, SEED) for g in grams[i : i + 8192]], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(grams), bitorder="little").tobytes(), "little")
+        return np.zeros(0, "<u8")
+    grams = map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False)) if len(own) >= words else [b" ".join(own)]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(g, SEED) for g in grams), "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), 8192):
+        counts += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
