@@ -6,7 +6,10 @@ or unsure as they are on new text. Features: which words and word beginnings (4
 has, of those that tell the classes apart in the training rows, and a few shares of characters.
 
 The models are fitted on a bounded sample of labelled rows (``sample`` rows a class of the last
-category, ``sample_chars`` characters in all); scoring is one pass over all documents, whole.
+category, ``sample_chars`` characters in all, texts of at most ``text_chars``); scoring is one pass
+over all documents, whole. ``labels`` states two things of a document, so the chain has two links:
+``poor`` (one minus quality; not a kind of toxicity, but what tells junk from prose) and ``toxic``.
+Any number of categories may be given.
 """
 
 from __future__ import annotations
@@ -17,13 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_columns, fresh, pieces_of
+from .common import discard, doc_columns, fresh, pieces_of, stored
 
-#: Labelled rows of each class, and characters, that the models are fitted on.
-SAMPLE, SAMPLE_CHARS = 3000, 24_000_000
+#: Labelled rows of each class, and characters, that the models are fitted on; longer texts are left out of the fit.
+SAMPLE, SAMPLE_CHARS, TEXT_CHARS = 3000, 24_000_000, 1_000_000
 FOLDS = 3
 #: Features that a model may use.
 SELECTED = 3000
@@ -162,18 +165,27 @@ def probabilities(chain: list[Link], texts: list[str]) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], dict[str, list[int]]]:
-    """Texts and labels of at most ``rows`` labelled documents a class of the last category, by hashed doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows: int = SAMPLE, chars: int = SAMPLE_CHARS, text_chars: int = TEXT_CHARS) -> tuple[list[str], dict[str, list[int]]]:
+    """Texts and labels of at most ``rows`` labelled documents a class of the last category, by hashed doc_id.
+
+    All bounds hold before anything reaches the driver. A doc_id counts once: of several rows the text
+    that sorts first, of labels that disagree the largest. Texts of over ``text_chars`` characters are
+    left out, and those after the first ``chars`` characters in the hashed order. Null labels and ids
+    are left out.
+    """
     last = list(categories)[-1]
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.expr(e).cast("int").alias(c) for c, e in categories.items())).dropna()
     known = known.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     order = F.xxhash64("doc_id")
     chosen = known.where(F.col(last) == 1).orderBy(order).limit(rows).union(known.where(F.col(last) == 0).orderBy(order).limit(rows))
-    found = doc_columns(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *categories, F.xxhash64("doc_id").alias("h"))
-    # at most an even share of the characters from each row, so that the sample's size is bounded
-    found = found.where(F.length("text") <= chars // (2 * rows) * 16).toPandas().sort_values(["h", "text"])
-    found = found[found["text"].str.len().cumsum() <= chars]
-    return found["text"].tolist(), {c: found[c].tolist() for c in categories}
+    # at most 2 * rows rows, so chosen may be broadcast
+    found = doc_columns(docs).where(F.length("text") <= text_chars).join(F.broadcast(chosen), "doc_id")
+    found = stored(found.groupBy("doc_id", *categories).agg(F.min("text").alias("text")).withColumn("h", order), "toxicity-sample")
+    so_far = F.sum(F.length("text")).over(Window.orderBy("h", "doc_id"))  # over at most 2 * rows rows
+    fit = found.select("doc_id", so_far.alias("chars")).where(F.col("chars") <= chars).select("doc_id")
+    own = sorted(found.join(fit, "doc_id").collect(), key=lambda r: (r["h"], r["doc_id"]))
+    discard(found)
+    return [r["text"] for r in own], {c: [r[c] for r in own] for c in categories}
 
 
 #: Categories and how labels state them, in the order of the chain.

@@ -146,6 +146,49 @@ def test_toxicity_on_held_out_texts():
     assert ((p[:, 0] >= 0.5) == np.array(poor[600:])).mean() > 0.95
 
 
+def test_chain_by_hand(monkeypatch):
+    """Probabilities from the stored weights, written anew, and folds that never score what they were fitted on."""
+    import math
+    import re
+
+    rng, calls = random.Random(4), []
+    texts = [" ".join(rng.choice(["alpha", "beta", "gammas", "delta9", "vile", "Vilest", "x"]) for _ in range(rng.randrange(1, 30))) for _ in range(120)]
+    toxic = [int("vile" in t.lower()) for t in texts]
+    poor = [int("x" in t.split()) for t in texts]
+    fit, score = toxicity._fit, toxicity._score
+
+    def fitted(corpus, at, y, extra):
+        model = fit(corpus, at, y, extra)
+        calls.append(("fit", set(at.tolist()), extra.copy()))
+        return model
+
+    def scored(corpus, at, extra, model):
+        p = score(corpus, at, extra, model)
+        calls.append(("score", set(at.tolist()), p))
+        return p
+
+    monkeypatch.setattr(toxicity, "_fit", fitted)
+    monkeypatch.setattr(toxicity, "_score", scored)
+    chain = toxicity.fit_chain(texts, {"poor": poor, "toxic": toxic})
+    own = calls[: 2 * toxicity.FOLDS]
+    fed = np.zeros(len(texts))
+    for (what, trained, extra), (_, held, p) in zip(own[::2], own[1::2], strict=True):
+        assert what == "fit" and not trained & held and trained | held == set(range(len(texts))) and extra.shape[1] == 0
+        fed[sorted(held)] = p
+    later = [c[2] for c in calls[2 * toxicity.FOLDS + 1 :] if c[0] == "fit"]
+    assert len(later) == toxicity.FOLDS + 1 and all(np.array_equal(x[:, 0], fed) for x in later)
+
+    for t, got in zip(texts, toxicity.Scorer(chain)(texts), strict=True):
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        letters = sum(len(w) for w in words)
+        x = [letters / max(1, len(t)), t.count(" ") / max(1, len(t)), len(set(words)) / max(1, len(words)), letters / max(1, len(words)) / 16, math.log1p(len(t)) / 12]
+        has = {w + "$" for w in words} | {w[:k] for w in words for k in (4, 5, 6) if len(w) >= k}
+        for link, p in zip(chain, got, strict=True):
+            s = link.bias + sum(a * b for a, b in zip(link.dense.tolist(), x, strict=True)) + sum(v for f, v in link.weights.items() if f in has)
+            x.append(1 / (1 + math.exp(-s)))
+            assert abs(x[-1] - p) < 1e-9
+
+
 def test_chain_without_two_classes():
     chain = toxicity.fit_chain(["a b", "c"], {"poor": [0, 1], "toxic": [0, 0]})
     assert (toxicity.Scorer(chain)(["a", ""])[:, 1] < chain[1].threshold).all()

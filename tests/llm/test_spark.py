@@ -153,6 +153,31 @@ def test_toxicity(spark, docs, nothing):
     assert sum(y.get(i) == 0 for i in found) <= 2 and sum(y.get(i) == 1 for i in found) >= 0.6 * sum(y.values())
 
 
+def test_toxicity_sample(spark):
+    long = "word " * 13_600  # 68,000 characters
+    rows = [(i, long if i < 20 else f"text {i}") for i in range(60)] + [(3, "again")] * 20 + [(59, None), (None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = [(i, 1, i % 2) for i in range(60)] + [(4, 0, 1), (5, None, 1), (None, 1, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    texts, values = toxicity.sample(d, labels, toxicity.CATEGORIES)
+    assert len(texts) == 60 and texts.count("again") == 1 and texts.count("") == 1 and sum(t == long for t in texts) == 19
+    assert sum(values["toxic"]) == 31 and sum(values["poor"]) == 1  # the largest of labels that disagree
+    assert len(toxicity.sample(d, labels, toxicity.CATEGORIES, text_chars=60_000)[0]) == 41
+    assert len(toxicity.sample(d, labels, toxicity.CATEGORIES, rows=7)[0]) == 14
+    few, _ = toxicity.sample(d, labels, toxicity.CATEGORIES, chars=200_000)
+    assert 0 < len(few) < 60 and sum(map(len, few)) <= 200_000
+
+
+def test_toxicity_on_documents_held_out(spark):
+    large = "/root/testdata/sf0.1"
+    d, labels = common.table(spark, large, "documents"), common.table(spark, large, "labels")
+    chain = toxicity.train(spark, d, labels.where("doc_id % 2 = 0"))
+    y = {r["doc_id"]: r["toxic"] for r in labels.where("doc_id % 2 = 1").collect()}
+    found = {r["doc_id"] for r in toxicity.score(d, chain).where("toxic").collect()} & y.keys()
+    # fitted on about 220 toxic rows; with thousands of them nearly all are found
+    assert sum(y[i] for i in found) >= 0.7 * sum(y.values()) and sum(1 - y[i] for i in found) <= 0.005 * len(y)
+
+
 def plain_components(docs):
     f = {i: simhash.fingerprint(t) for i, t in docs}
     root = {i: i for i in f}
