@@ -10,8 +10,11 @@ and keeps a bitmap of fixed size (2^``bits``) of those that occur again; a super
 set stays where it is. Bits set by chance only make more strings travel. In buckets of over ``hot``
 occurrences (copies or passages in very many documents) equal strings are folded, before the shuffle,
 into one with its count; what is found in it is joined back to its documents, a join that adaptive
-execution can split. If over ``hot`` distinct strings are left, the bucket isn't gathered: its windows
-are counted by 128-bit hashes.
+execution can split. If over ``hot`` distinct strings are left, the bucket is split further: each of
+its windows goes to a place of its own, where its bytes are grouped and counted.
+
+Words of over ``LONG`` bytes travel as their SHA-256 (after a tab, which no word holds), so a string's
+size is bounded whatever the words.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from .common import discard, doc_columns, partitions, pieces_of, stored
 
 WINDOW, M = 35, 8
 #: The bitmap's size, occurrences from which a bucket is split, windows in a packed string at most.
-BITS, HOT, RUN = 26, 4096, 256
+BITS, HOT, RUN = 26, 1024, 256
+#: Bytes from which a word is stood for by its digest in strings.
+LONG = 256
 #: Words of a document that are looked at together.
 BLOCK = 1 << 18
 
@@ -42,6 +47,13 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
+def bounded(words: list[bytes]) -> list[bytes]:
+    """The words as they travel: long ones as their digest."""
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [w if len(w) <= LONG else b"\t" + hashlib.sha256(w).hexdigest().encode() for w in words]
+
+
 def _sliding(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
     """f over every n neighbours, by doubling."""
     size, out = 1, x
@@ -112,7 +124,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, m: int = M, bits: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
-            found = [minimisers(block, window, m)[1] for t in batch.column(0).to_pylist() for _, block in _blocks(words_of(t), window)]
+            found = [minimisers(block, window, m)[1] for t in batch.column(0).to_pylist() for _, block in _blocks(bounded(words_of(t)), window)]
             if found:
                 values, n = np.unique(np.concatenate(found).view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["mini", "n"])
@@ -128,7 +140,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, m: int = M, bits: int
         for batch in pieces_of(batches, 64):
             rows: list[tuple] = []
             for t, *key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for at, words in _blocks(words_of(t), window):
+                for at, words in _blocks(bounded(words_of(t)), window):
                     least, _ = minimisers(words, window, m)
                     cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
                     ends = np.append(cuts[1:], len(least))
@@ -146,54 +158,64 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, m: int = M, bits: int
 
     def sort_distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Spans within distinct strings, counted as often as they occur."""
-        rows = ((bucket[i]["mini"], bucket[i]["packed"], a, b) for bucket in _buckets(batches) for i, a, b in repeats([x["packed"] for x in bucket], [x["times"] for x in bucket], window))
-        yield from _batches(rows, ("mini", "packed", "a", "b"), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))
+        rows = ((bucket[i]["string"], a, b) for bucket in _buckets(batches) for i, a, b in repeats([x["packed"] for x in bucket], [x["times"] for x in bucket], window))
+        yield from _batches(rows, ("string", "a", "b"), (pa.int64(),) * 3)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of distinct strings by 128 hashed bits."""
-        half = lambda d, k: int.from_bytes(d[8 * k : 8 * k + 8], "little", signed=True)
+        """Windows of distinct strings, each as its bytes."""
         strings = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        hashed = ((xxhash.xxh3_128_digest(w), mini, packed, times, k) for mini, packed, times in strings for k, w in enumerate(_windows(packed, window)))
-        rows = ((half(d, 0), half(d, 1), *rest) for d, *rest in hashed)
-        yield from _batches(rows, ("w1", "w2", "mini", "packed", "times", "a"), (*[pa.int64()] * 3, pa.binary(), pa.int64(), pa.int64()))
+        rows = ((packed[a:b], string, times, k) for string, packed, times in strings for k, (a, b) in enumerate(_windows(packed, window)))
+        yield from _batches(rows, ("w", "string", "times", "a"), (pa.binary(), *[pa.int64()] * 3), 4096)
 
     sent = stored(keyed.mapInArrow(send, "mini long, wide boolean, doc_id long, h1 long, h2 long, at long, packed binary"), "super-k-mers")
     plain = sent.where("NOT wide").drop("wide").repartition(partitions(spark), "mini").sortWithinPartitions("mini").mapInArrow(sort, _SPAN)
     wide = sent.where("wide")
     if wide.isEmpty():
         return plain
-    # strings that many documents share are one row each before they meet
-    distinct = stored(wide.groupBy("mini", "packed").agg(F.count("*").alias("times")), "distinct-super-k-mers")
+    # strings that many documents share are one row each before they meet; stored, so their numbers stay
+    distinct = stored(wide.groupBy("mini", "packed").agg(F.count("*").alias("times")).withColumn("string", F.monotonically_increasing_id()), "distinct-super-k-mers")
     large = distinct.groupBy("mini").count().where(F.col("count") > hot).select("mini")
-    spans = distinct.join(large, "mini", "left_anti").repartition(partitions(spark), "mini").sortWithinPartitions("mini").mapInArrow(sort_distinct, "mini long, packed binary, a long, b long")
-    exploded = stored(distinct.join(large, "mini", "left_semi").select("mini", "packed", "times").mapInArrow(explode, "w1 long, w2 long, mini long, packed binary, times long, a long"), "windows")
-    more = exploded.groupBy("w1", "w2").agg(F.sum("times").alias("n")).where("n > 1").select("w1", "w2")
-    spans = spans.union(exploded.join(more, ["w1", "w2"]).select("mini", "packed", "a", (F.col("a") + window).alias("b")))
+    spans = distinct.join(large, "mini", "left_anti").repartition(partitions(spark), "mini").sortWithinPartitions("mini").mapInArrow(sort_distinct, "string long, a long, b long")
+    exploded = stored(distinct.join(large, "mini", "left_semi").select("string", "packed", "times").mapInArrow(explode, "w binary, string long, times long, a long"), "windows")
+    more = exploded.groupBy("w").agg(F.sum("times").alias("n")).where("n > 1").select("w")
+    spans = spans.union(exploded.join(more, "w").select("string", "a", (F.col("a") + window).alias("b")))
     # one row a string, so that the join's other side is what adaptive execution may split
-    folded = spans.groupBy("mini", "packed").agg(F.collect_set(F.struct("a", "b")).alias("own"))
+    folded = distinct.join(spans.groupBy("string").agg(F.collect_set(F.struct("a", "b")).alias("own")), "string").select("mini", "packed", "own")
     back = wide.join(folded, ["mini", "packed"]).select("doc_id", "h1", "h2", "at", F.explode("own").alias("s"))
     return plain.union(back.select("doc_id", "h1", "h2", (F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.b")).alias("b")))
 
 
-def _windows(packed: bytes, window: int) -> list[bytes]:
-    """The windows of a packed string, as slices."""
+def _windows(packed: bytes, window: int) -> list[tuple[int, int]]:
+    """Where the windows of a packed string begin and end."""
     edges = [0, *(np.flatnonzero(np.frombuffer(packed, np.uint8) == 32) + 1).tolist(), len(packed) + 1]
-    return [packed[edges[k] : edges[k + window] - 1] for k in range(len(edges) - window)]
+    return [(a, b - 1) for a, b in zip(edges, edges[window:], strict=False)]
 
 
 def repeats(strings: list[bytes], times: list[int], window: int) -> list[tuple[int, int, int]]:
     """(string, first word, last word + 1) of what repeated windows cover, by sorting all windows of a bucket.
 
-    A string that occurs more than once repeats as a whole.
+    A string that occurs more than once repeats as a whole. Windows are sorted by a hash, without copies
+    of them; those of one hash are compared byte for byte.
     """
-    every = [(w, i, k) for i, s in enumerate(strings) for k, w in enumerate(_windows(s, window))]
-    every.sort()
-    marks = []
-    for k, (w, i, at) in enumerate(every):
-        if times[i] > 1 or k and every[k - 1][0] == w or k + 1 < len(every) and every[k + 1][0] == w:
-            marks.append((i, at))
-    marks.sort()
-    return [(i, a, b + window - 1) for i, a, b in _spans(marks)]
+    at = [_windows(s, window) for s in strings]
+    own, first = np.repeat(np.arange(len(at)), [len(x) for x in at]), np.cumsum([0, *map(len, at)])
+    digest = xxhash.xxh3_64_intdigest
+    h = np.fromiter((digest(s[a:b]) for s, x in zip(strings, at, strict=True) for a, b in x), np.uint64, len(own))
+    order = np.argsort(h, kind="stable")
+    equal = np.concatenate([[False], h[order[1:]] == h[order[:-1]], [False]])
+    again = (np.array(times, np.int64) > 1)[own] if len(own) else np.zeros(0, bool)
+    starts = np.flatnonzero(~equal[:-1] & equal[1:])
+    for a, b in zip(starts.tolist(), np.flatnonzero(equal[:-1] & ~equal[1:]).tolist(), strict=True):
+        places: dict[bytes, list[int]] = {}
+        for j in order[a : b + 1].tolist():
+            i = int(own[j])
+            x, y = at[i][j - int(first[i])]
+            places.setdefault(strings[i][x:y], []).append(j)
+        for same in places.values():
+            if len(same) > 1:
+                again[same] = True
+    marks = np.flatnonzero(again)
+    return [(i, a, b + window - 1) for i, a, b in _spans([(int(own[j]), int(j - first[own[j]])) for j in marks.tolist()])]
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:

@@ -239,3 +239,22 @@ def test_kept_words():
     words = [b"a", b"b", b"c", b"d", b"e"]
     assert substring.kept_words(words, [(1, 3), (2, 4)]) == [b"a", b"e"]
     assert substring.kept_words([], []) == []
+
+
+def test_windows_of_one_hash_are_compared(monkeypatch):
+    rng = random.Random(13)
+    strings = [b" ".join(rng.choice([b"a", b"b"]) for _ in range(rng.randrange(5, 14))) for _ in range(30)]
+    times = [rng.choice([1, 1, 1, 2]) for _ in strings]
+
+    def plain():
+        seen = {}
+        for i, s in enumerate(strings):
+            w = s.split()
+            for k in range(len(w) - 4):
+                seen.setdefault(tuple(w[k : k + 5]), []).append((i, k))
+        return {(i, k + j) for at in seen.values() if sum(times[i] for i, _ in at) > 1 for i, k in at for j in range(5)}
+
+    for digest in (xxhash.xxh3_64_intdigest, lambda w: len(w) % 2):  # the second makes unlike windows meet
+        monkeypatch.setattr(substring.xxhash, "xxh3_64_intdigest", digest)
+        assert {(i, k) for i, a, b in substring.repeats(strings, times, 5) for k in range(a, b)} == plain()
+    assert substring.repeats([], [], 5) == [] and substring.repeats([b"a b"], [2], 5) == []

@@ -277,6 +277,14 @@ def test_substring(spark, docs, nothing, how):
         assert {r["text"] for r in out.where("doc_id = 5").collect()} == {LONG}
 
 
+def test_substring_of_long_words(spark):
+    big = [chr(97 + i % 26) * 1_000_000 + str(i) for i in range(40)]  # 40 words of a megabyte
+    rows = [(1, " ".join(big)), (2, "z " + " ".join(big[1:])), (3, " ".join([*big[:34], "x"])), (4, "w" * 300 + " " + "v " * 40)]
+    for how in ({}, {"hot": 1}):
+        got = substring.substring_report(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()
+        assert key(tuple(r) for r in got) == key(plain_substring(rows, 35)) and {r["doc_id"]: r["n_removed"] for r in got} == {1: 39, 2: 39, 3: 0, 4: 40}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     import duckdb
