@@ -78,10 +78,8 @@ def prefixes(found: DataFrame) -> DataFrame:
     """
     every = max(1, found.count() // SAMPLE)
     seen = found.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp", F.explode("grams").alias("g")).distinct()
-    often = seen.groupBy("g").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "g").limit(COMMON).collect()
-    often.sort(key=lambda r: r["g"])
-    common = np.array([r["g"] for r in often] or [0], np.int64)
-    times = np.array([r["n"] for r in often] or [0], np.int64)
+    often = seen.groupBy("g").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "g").limit(COMMON).toArrow().sort_by("g")
+    common, times = (often[c].to_numpy() if len(often) else np.zeros(1, np.int64) for c in ("g", "n"))
 
     def run(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):

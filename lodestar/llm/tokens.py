@@ -18,8 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Entries a worker's cache of pieces holds; a full one is emptied.
-CACHE = 500_000
+#: Pieces that a worker's cache holds, each of less than LONG bytes; a full one is emptied.
+CACHE = 250_000
 #: Characters cut at a time; longer texts are first cut at a space between two other characters.
 STRETCH = 1 << 20
 #: Bytes from which a piece goes to the library.
@@ -185,15 +185,14 @@ class Encoder(Cutter):
         super().__init__(path)
         self.known: dict[str, bytes] = {}
 
-    def learn(self, unseen: list[str]) -> None:
+    def learn(self, unseen: list[str]) -> dict[str, bytes]:
+        """Add the ids of pieces; those of long ones are returned instead."""
         raw = [p.encode() for p in unseen]
         for i in range(0, len(raw), 20_000):
             part = [(p, r) for p, r in zip(unseen[i : i + 20_000], raw[i : i + 20_000], strict=True) if len(r) < LONG]
             if part:
                 self.known.update(zip((p for p, _ in part), self.merges.merge([r for _, r in part]), strict=True))
-        for p, r in zip(unseen, raw, strict=True):
-            if len(r) >= LONG:
-                self.known[p] = self.direct(p)
+        return {p: self.direct(p) for p, r in zip(unseen, raw, strict=True) if len(r) >= LONG}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian uint32 bytes."""
@@ -210,12 +209,13 @@ class Encoder(Cutter):
                         parts.append(self.direct(s) if (pieces := self.cut(s)) is None else pieces)
             cut.append(parts)
         unseen = set().union(*(p for parts in cut for p in parts if isinstance(p, list))).difference(self.known)
+        long: dict[str, bytes] = {}
         if unseen:
             if len(self.known) + len(unseen) > CACHE:
                 self.known.clear()
                 unseen = set().union(*(p for parts in cut for p in parts if isinstance(p, list)))
-            self.learn(list(unseen))
-        get = self.known.__getitem__
+            long = self.learn(list(unseen))
+        get = (self.known | long if long else self.known).__getitem__
         return [b"".join([b"".join(map(get, p)) if isinstance(p, list) else p for p in parts]) for parts in cut]
 
 

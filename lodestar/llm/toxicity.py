@@ -31,6 +31,8 @@ FOLDS = 3
 #: Features that a model may use.
 SELECTED = 3000
 BEGINNINGS = (4, 5, 6)
+#: Words that a worker remembers the features of.
+WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS, _SPACES = re.compile(r"[^\W\d_]"), re.compile(r"\s")
 
@@ -183,9 +185,9 @@ def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows:
     found = stored(found.groupBy("doc_id", *categories).agg(F.min("text").alias("text")).withColumn("h", order), "toxicity-sample")
     so_far = F.sum(F.length("text")).over(Window.orderBy("h", "doc_id"))  # over at most 2 * rows rows
     fit = found.select("doc_id", so_far.alias("chars")).where(F.col("chars") <= chars).select("doc_id")
-    own = sorted(found.join(fit, "doc_id").collect(), key=lambda r: (r["h"], r["doc_id"]))
+    own = found.join(fit, "doc_id").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
     discard(found)
-    return [r["text"] for r in own], {c: [r[c] for r in own] for c in categories}
+    return own["text"].to_pylist(), {c: own[c].to_pylist() for c in categories}
 
 
 #: Categories and how labels state them, in the order of the chain.
@@ -228,7 +230,7 @@ class Scorer:
             words = _WORD.findall(t.lower())
             distinct = set(words)
             if unseen := distinct.difference(hits):
-                if len(hits) > 400_000:
+                if len(hits) > WORDS:
                     hits.clear()
                     unseen = distinct
                 hits.update((w, tuple([f for f in (w + "$", w[:4], w[:5], w[:6]) if f in names])) for w in unseen)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import doc_columns, pieces_of
-from .tokens import CACHE, Cutter, byte_symbols, stretches
+from .tokens import CACHE, LONG, Cutter, byte_symbols, stretches
 
 #: Pairs of tokens whose fit a worker remembers.
 FITS = 1_000_000
@@ -123,10 +123,12 @@ class TrieEncoder(Cutter):
             found.reverse()
             yield found
 
-    def learn(self, unseen: list[str]) -> None:
-        words = sorted({p.encode() for p in unseen})
+    def learn(self, unseen: list[str]) -> dict[str, bytes]:
+        """Add the ids of words; those of long ones are returned instead."""
+        words, long = sorted({p.encode() for p in unseen}), {}
         for w, ids in zip(words, self.walk(words), strict=True):
-            self.known[w.decode()] = np.array(ids, "<u4").tobytes()
+            (self.known if len(w) < LONG else long)[w.decode()] = np.array(ids, "<u4").tobytes()
+        return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian uint32 bytes."""
@@ -140,12 +142,13 @@ class TrieEncoder(Cutter):
                     parts += [self.cut(s) for s in stretches(own)]
             cut.append(parts)
         everything = lambda: set().union(*(p for parts in cut for p in parts if isinstance(p, list)))
+        long: dict[str, bytes] = {}
         if unseen := everything().difference(self.known):
             if len(self.known) + len(unseen) > CACHE:
                 self.known.clear()
                 unseen = everything()
-            self.learn(list(unseen))
-        get = self.known.__getitem__
+            long = self.learn(list(unseen))
+        get = (self.known | long if long else self.known).__getitem__
         return [b"".join([b"".join(map(get, p)) if isinstance(p, list) else p for p in parts]) for parts in cut]
 
     def decode(self, ids: bytes) -> str:
