@@ -94,8 +94,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of an Arrow batch between Spark and Python, where the session doesn't say.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have batches of texts hold a few megabytes: the default of 10,000 rows makes buffers of tens, for each task and outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def doc_columns(docs: DataFrame) -> DataFrame:
     """doc_id as long and text (null: empty); other columns play no part, whatever their names."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, doc_columns, fresh, pieces_of, stored
+from .common import discard, doc_columns, fresh, pieces_of, small_batches, stored
 
 #: Labelled rows of each class, and characters, that the models are fitted on; longer texts are left out of the fit.
 SAMPLE, SAMPLE_CHARS, TEXT_CHARS = 3000, 24_000_000, 1_000_000
@@ -246,6 +246,7 @@ class Scorer:
 def reject(docs: DataFrame, chain: list[Link]) -> DataFrame:
     """The rows of ``docs``, all columns, that the chain doesn't reject."""
     flag = fresh(docs, "lodestar_rejected")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fast = Scorer(chain)
