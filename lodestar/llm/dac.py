@@ -94,6 +94,31 @@ class Reader:
             shift += 8
         raise ValueError("the last level goes on")
 
+    def _rank(self, level: int, i: int) -> int:
+        """How many of a level's first i chunks go on: the directory's count and the bits of one block."""
+        _, bits, ranks = self.levels[level]
+        block, rest = divmod(i, BLOCK)
+        out = int(ranks[block])
+        if rest:
+            own = np.unpackbits(bits[block * (BLOCK // 8) : (i + 7) >> 3], count=rest, bitorder="little")
+            out += int(own.sum())
+        return out
+
+    def part(self, a: int, b: int) -> np.ndarray:
+        """Tokens a to b (excluded): on every level their chunks stand together, between two ranks."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        out, at = np.zeros(b - a, "<u4"), np.arange(b - a)
+        for k, (chunks, bits, _) in enumerate(self.levels):
+            if a == b:
+                break
+            out[at] += chunks[a:b].astype(np.uint32) << np.uint32(8 * k)
+            if k + 1 < len(self.levels):
+                more = np.unpackbits(bits[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a]
+                at = at[np.flatnonzero(more)]
+                a, b = self._rank(k, a), self._rank(k, b)
+        return out
+
     def all(self) -> np.ndarray:
         out, at = np.zeros(self.n, "<u4"), None
         for k, (chunks, bits, _) in enumerate(self.levels):
@@ -150,6 +175,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
 def read(files: DataFrame) -> DataFrame:
     """Per document, read from the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32.
 
+    Each document is read for itself, by its file's rank directories.
+
     The number of files bounds what the driver adds up: a first token for each.
     """
     spark = files.sparkSession
@@ -163,8 +190,8 @@ def read(files: DataFrame) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with open_shared(path, "rb") as f:
                     r = Reader(f.read())
-                raw, starts = r.all().tobytes(), [*r.starts.tolist(), r.n]
-                crc = [zlib.crc32(memoryview(raw)[4 * a : 4 * b]) for a, b in zip(starts, starts[1:], strict=False)]
+                starts = [*r.starts.tolist(), r.n]
+                crc = [zlib.crc32(r.part(a, b).tobytes()) for a, b in zip(starts, starts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(r.docs, pa.int64()), pa.array([base + a for a in starts[:-1]], pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return listed.repartition(max(1, min(len(rows), partitions(spark)))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

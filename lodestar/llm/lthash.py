@@ -1,8 +1,8 @@
 """Document fingerprints by a homomorphic multiset hash.
 
-Each paragraph (line of a text) is hashed to a wide vector: 32 lanes of 16 uniform bits, and 128 lanes
+Each paragraph (line of a text) is hashed to a wide vector: 16 lanes of 32 uniform bits, and 128 lanes
 that add up +1 or -1 for each of its units (clauses, long ones by eight words). A fingerprint is the
-sum over the paragraphs, each lane modulo 2^16. Sums don't depend on the paragraphs' order, equal
+sum over the paragraphs, each lane modulo 2^32, which no text's units reach. Sums don't depend on the paragraphs' order, equal
 multisets have equal fingerprints, and a paragraph is added or taken away by adding or subtracting its
 vector. The inner product of two sums' signed lanes estimates how many units the texts share, so their
 cosine is the likeness of two fingerprints, without the texts.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_columns, partitions
 
-UNIFORM, SIGNED = 32, 128
+UNIFORM, SIGNED = 16, 128
 LANES = UNIFORM + SIGNED
 _CLAUSE = re.compile(r"[^.,;:!?]+")
 _EIGHT = re.compile(r"(?:\S+\s*){1,8}")
@@ -51,7 +51,7 @@ def _sums(rows: np.ndarray, counts: list[int], kind: type) -> np.ndarray:
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
-    """(texts, LANES) of uint16. Empty paragraphs add nothing; an empty text's fingerprint is zero."""
+    """(texts, LANES) of uint32. Empty paragraphs add nothing; an empty text's fingerprint is zero."""
     whole, n_whole, parts, n_parts = [], [], [], []
     for t in texts:
         own = [p for p in t.split("\n") if p]
@@ -60,7 +60,7 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         mine = [xxhash.xxh3_128_digest(u.encode()) for p in own for u in units(p)]
         parts += mine
         n_parts.append(len(mine))
-    uniform = _sums(np.frombuffer(b"".join(whole), "<u2").reshape(-1, UNIFORM), n_whole, np.uint16)
+    uniform = _sums(np.frombuffer(b"".join(whole), "<u4").reshape(-1, UNIFORM), n_whole, np.uint32)
     bits = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, SIGNED // 8)
     signed = np.zeros((len(texts), SIGNED), np.int64)
     at, ends = 0, np.cumsum(n_parts)
@@ -69,7 +69,7 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         a, b = int(ends[at - 1]) if at else 0, int(ends[to - 1])
         signed[at:to] = 2 * _sums(np.unpackbits(bits[a:b], axis=1), n_parts[at:to], np.int64) - np.array(n_parts[at:to])[:, None]
         at = to
-    return np.concatenate([uniform, signed.astype(np.uint16)], axis=1)
+    return np.concatenate([uniform, signed.astype(np.uint32)], axis=1)
 
 
 def insert(fingerprint: np.ndarray, paragraph: str) -> np.ndarray:
@@ -82,7 +82,7 @@ def delete(fingerprint: np.ndarray, paragraph: str) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 for rows of fingerprints: 1 if equal, else the cosine of the signed lanes, at least 0."""
-    x, y = a[:, UNIFORM:].view(np.int16).astype(float), b[:, UNIFORM:].view(np.int16).astype(float)
+    x, y = np.ascontiguousarray(a[:, UNIFORM:]).view(np.int32).astype(float), np.ascontiguousarray(b[:, UNIFORM:]).view(np.int32).astype(float)
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cos = np.divide((x * y).sum(1), norm, out=np.zeros(len(x)), where=norm > 0)
     return np.where((a == b).all(1), 1.0, np.clip(cos, 0.0, 1.0))
@@ -142,7 +142,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     A range also needs the first document of the next one: it is sent to both, marked as being ahead,
     so texts are shuffled once and nothing is stored. The last document's next is the first. Null texts
     count as empty, a lone document is its own next, empty tables give no rows, other columns play no
-    part. Fingerprints are little-endian uint16 lanes.
+    part. Fingerprints are little-endian uint32 lanes.
     """
     spark, rows = docs.sparkSession, doc_columns(docs)
     n = min(partitions(spark), RANGES)

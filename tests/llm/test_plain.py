@@ -81,6 +81,12 @@ def test_codes_round_trip_and_random_access():
             assert r[i] == ids[i]
         with pytest.raises(IndexError):
             r[len(ids)]
+        for _ in range(200):
+            a, b = sorted(rng.integers(0, len(ids) + 1, 2).tolist())
+            assert r.part(a, b).tolist() == ids[a:b].tolist()
+        assert r.part(0, len(ids)).tolist() == ids.tolist()
+        with pytest.raises(IndexError):
+            r.part(0, len(ids) + 1)
     with pytest.raises(ValueError):
         dac.Reader(dac.to_bytes(np.array([1, 2], np.uint32), np.array([0]), [1])[:-1])
 
@@ -125,6 +131,21 @@ def test_fingerprints_add_up():
     assert near.mean() > 0.35 and far.mean() < 0.1 and (near > far).mean() > 0.95
 
 
+def test_fingerprints_of_many_equal_lines():
+    near = []
+    for n in (1, 20_000, 40_000, 65_536):
+        a, b = "the same line, again\n" * n + "one end\n" * n, "the same line, again\n" * n + "another end\n" * n
+        f = lthash.fingerprints([a, b, ""])
+        assert f[0].any() and not f[2].any() and (f[0] != f[1]).any()
+        near.append(float(lthash.likeness(f[:1], f[1:2])[0]))
+    assert 0.4 < near[0] < 0.9 and max(near) - min(near) < 1e-9
+    line = lthash.fingerprints(["x, y"])[0]
+    total = np.zeros_like(line)
+    for _ in range(70_000):
+        total += line
+    assert (total == lthash.fingerprints(["x, y\n" * 70_000])[0]).all()
+
+
 def test_toxicity_on_held_out_texts():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ne", "ru", "sa"]) for _ in range(rng.randrange(1, 4)))
