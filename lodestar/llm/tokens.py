@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pieces that a worker's cache holds, each of less than LONG bytes; a full one is emptied.
-CACHE = 250_000
+CACHE = 500_000
 #: Characters cut at a time; longer texts are first cut at a space between two other characters.
 STRETCH = 1 << 20
 #: Bytes from which a piece goes to the library.

@@ -32,7 +32,7 @@ FOLDS = 3
 SELECTED = 3000
 BEGINNINGS = (4, 5, 6)
 #: Words that a worker remembers the features of.
-WORDS = 200_000
+WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS, _SPACES = re.compile(r"[^\W\d_]"), re.compile(r"\s")
 
