@@ -127,7 +127,8 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     Alternating large-star and small-star steps: each node's neighbours are re-hung under the smallest
     of them. Minima are aggregated before the shuffle and joined back, so a hub's edges are split by
     adaptive execution and no adjacency list is built. Every round is written to the shared folder.
-    Empty edges give an empty result.
+    Empty edges give an empty result. The rounds grow with the logarithm of a component's diameter; if
+    ``rounds`` don't settle it, RuntimeError is raised rather than a part returned.
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     for _ in range(rounds):

@@ -12,7 +12,10 @@ similarity is at least 4/5. Candidates come from two sources, and every one is c
 
 Groups are compared with one leader each first (the set that shares most; of equal fingerprints the
 least set), and pairs that links already join are left out when all pairs of what remains are checked.
-So many copies of one text cost a link each, not a pair each.
+So many copies of one text cost a link each, not a pair each. In a group of over ``FEW`` sets what
+remains isn't paired in rows at all: sets outside the group's largest component meet blocks of bounded
+size, of the others and of that component, and a block's sizes of intersections are one product of
+matrices; only the links leave it.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ SHINGLE = 5
 SAMPLE, COMMON = 4_000, 100_000
 #: Hashes of each set that are compared first, and the share (one in so many) of them that has to agree.
 SKETCH, AGREE = 64, 4
+#: Sets of a group from which its pairs are compared in blocks, sets in a block, shingles of a block at a time.
+FEW, BLOCK, COLUMNS = 64, 128, 8192
 
 
 def sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -153,10 +158,62 @@ def links(found: DataFrame) -> DataFrame:
     mixed = named.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("g")
     left = stored(named.join(mixed, "g", "left_semi"), "near-left")
     discard(met, close)
-    second = left.alias("a").join(left.alias("b"), F.expr(f"a.g = b.g AND a.fp < b.fp AND a.comp <> b.comp AND {_may('a', 'b')}"))
+    large = left.groupBy("g").agg(F.count("*").alias("held")).where(F.col("held") > FEW).select("g")
+    few = left.join(large, "g", "left_anti")
+    second = few.alias("a").join(few.alias("b"), F.expr(f"a.g = b.g AND a.fp < b.fp AND a.comp <> b.comp AND {_may('a', 'b')}"))
     two = similar(found, stored(least(second), "near-pairs"))
+    many = stored(in_blocks(found, left.join(large, "g", "left_semi").select("g", "fp", "comp")), "near-links")
     discard(left, comp)
-    return one.union(two)
+    return one.union(two).union(many)
+
+
+def in_blocks(found: DataFrame, left: DataFrame) -> DataFrame:
+    """The similar pairs (u, v) of different components among the sets that share a shingle g.
+
+    Sets outside the largest component of g are dealt into blocks, and so are its own; a task compares
+    one of the former with one of either. Each set goes to as many tasks as there are blocks of the
+    former (which are few after the leaders), and those to one for each other block besides.
+    """
+    sizes = left.groupBy("g", "comp").agg(F.count("*").alias("c"))
+    groups = sizes.groupBy("g").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.max("c").alias("inside"), F.sum("c").alias("all"))
+    blocks = groups.select("g", "largest", F.ceil((F.col("all") - F.col("inside")) / BLOCK).alias("outer"), F.ceil(F.col("inside") / BLOCK).alias("inner"))
+    own = left.join(blocks, "g").withColumn("inside", F.col("comp") == F.col("largest"))
+    mine = F.pmod(F.xxhash64("fp"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer")))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    place = lambda i, j, inside: F.struct(i.alias("i"), j.alias("j"), F.lit(inside).alias("within"))
+    inner = F.transform(upto("outer"), lambda i: place(i, F.col("mine"), True))
+    outer = F.concat(F.transform(upto("inner"), lambda j: place(F.col("mine"), j, True)), F.transform(upto("outer"), lambda j: place(F.least(j, F.col("mine")), F.greatest(j, F.col("mine")), False)))
+    placed = own.withColumn("mine", mine).select("g", "fp", "comp", "inside", F.explode(F.when(F.col("inside"), inner).otherwise(outer)).alias("p"))
+    held = found.select("fp", "grams").join(left.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
+    rows = placed.join(stored(held, "near-sets"), "fp").select("g", "p.i", "p.j", "p.within", "fp", "comp", "inside", "grams")
+    return rows.groupBy("g", "i", "j", "within").applyInArrow(_compared, "u long, v long").distinct()
+
+
+def _compared(block: pa.Table) -> pa.Table:
+    """Links between a block's sets of different components; where some lie inside the largest, between those and the rest."""
+    block = block.combine_chunks()
+    fp, comp, inside, within = (block[c].to_numpy() for c in ("fp", "comp", "inside", "within"))
+    grams = block["grams"].chunk(0) if len(fp) else None
+    size = grams.value_lengths().to_numpy().astype(np.int64)
+    tokens, number = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+    row = np.repeat(np.arange(len(fp)), size)
+    times = np.bincount(number, minlength=len(tokens))
+    place = np.cumsum(times > 1) - 1  # only shingles of several sets count
+    kept = times[number] > 1
+    column, row = place[number[kept]], row[kept]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(fp), len(fp)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (at, at + COLUMNS)))
+        has = np.zeros((len(fp), COLUMNS), np.float32)
+        has[row[part], column[part] - at] = 1
+        both += has @ has.T
+    alike = (9 * both >= 4 * (size[:, None] + size[None, :])) & (comp[:, None] != comp[None, :]) & (fp[:, None] < fp[None, :])
+    if len(fp) and within[0]:
+        alike &= inside[:, None] != inside[None, :]
+    u, v = np.nonzero(alike)
+    return pa.table({"u": fp[u], "v": fp[v]})
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE) -> DataFrame:

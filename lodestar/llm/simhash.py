@@ -142,5 +142,7 @@ def keep_least(docs: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame:
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"))
     left = whole.alias("d").join(kept.alias("k"), F.expr("d.id <=> k.doc_id AND d.h1 = k.h1 AND d.h2 = k.h2")).select("d.row", "d.id", "d.h1", "d.h2", "k.times")
     one = left.where("times = 1").select("row")
-    first = left.where("times > 1").groupBy("id", "h1", "h2").agg(F.first("row").alias("row")).select("row")
+    # of rows that differ in other columns alone the least stays; maps have no order, so any does where there are some
+    pick = F.first if "map<" in docs.schema.simpleString() else F.min
+    first = left.where("times > 1").groupBy("id", "h1", "h2").agg(pick("row").alias("row")).select("row")
     return one.union(first).select("row.*")

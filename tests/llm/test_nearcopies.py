@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from lodestar.llm import common
+from lodestar.llm import common, nearcopies
 
 from conftest import MIDDLE, SMALL
 
@@ -46,7 +48,11 @@ def test_stage_finds_every_near_copy(spark):
         assert pairs > 0 and kept(spark, docs) == sorted(want)
 
 
-def test_made_copies(spark):
+@pytest.mark.parametrize("few, block", [(64, 128), (3, 4)])
+def test_made_copies(spark, monkeypatch, few, block):
+    monkeypatch.setattr(nearcopies, "FEW", few)
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "COLUMNS", 100)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(3000)}"
     rows = []
@@ -75,3 +81,18 @@ def test_made_copies(spark):
     want, pairs = plain_kept(rows)
     assert pairs > 100 and kept(spark, spark.createDataFrame(rows, "doc_id long, text string")) == sorted(want)
     assert kept(spark, spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_blocks_by_hand(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(nearcopies, "COLUMNS", 7)
+    base = rng.sample(range(1000), 40)
+    sets = [sorted({*base[rng.randrange(6) :], *rng.sample(range(1000, 2000), rng.randrange(8))}) for _ in range(30)]
+    comp, inside = [rng.randrange(5) for _ in sets], [False] * 30
+    for within in (False, True):
+        inside = [within and c == 0 for c in comp]
+        block = nearcopies.pa.table({"fp": range(30), "comp": comp, "inside": inside, "within": [within] * 30, "grams": nearcopies.pa.array(sets, nearcopies.pa.list_(nearcopies.pa.int64()))})
+        got = {tuple(r.values()) for r in nearcopies._compared(block).to_pylist()}
+        alike = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
+        assert got == {(i, j) for i in range(30) for j in range(i + 1, 30) if comp[i] != comp[j] and alike(sets[i], sets[j]) and (not within or inside[i] != inside[j])}
+        assert got

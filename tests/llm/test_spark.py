@@ -223,6 +223,8 @@ def test_simhash(spark, docs, nothing):
     assert key((r["doc_id"], r["text"]) for r in kept.collect()) == key([(1, ROWS[0][1]), (2, None), (None, "no id"), (4, ROWS[7][1]), (5, LONG), (7, ROWS[10][1])])
     twice = simhash.keep_one(spark.createDataFrame([(1, "a b c")] * 5, "doc_id long, text string"))
     assert twice.count() == 1
+    tied = simhash.keep_one(spark.createDataFrame([(1, "a b c", x) for x in "cabd"], "doc_id long, text string, lang string"))
+    assert [r["lang"] for r in tied.collect()] == ["a"]
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
