@@ -15,7 +15,8 @@ least set), and pairs that links already join are left out when all pairs of wha
 So many copies of one text cost a link each, not a pair each. In a group of over ``FEW`` sets what
 remains isn't paired in rows at all: sets outside the group's largest component meet blocks of bounded
 size, of the others and of that component, and a block's sizes of intersections are one product of
-matrices; only the links leave it.
+matrices. Sets of up to ``KEPT`` shingles go there whole, of larger ones the least KEPT; only pairs that
+can be links leave it.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SAMPLE, COMMON = 4_000, 100_000
 SKETCH, AGREE = 64, 4
 #: Sets of a group from which its pairs are compared in blocks, sets in a block, shingles of a block at a time.
 FEW, BLOCK, COLUMNS = 64, 128, 8192
+#: Least hashes of a set that a block holds, and how many of them similar larger sets share: fewer with a chance below 1e-17.
+KEPT, SHARED = 256, 140
 
 
 def sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -162,13 +165,13 @@ def links(found: DataFrame) -> DataFrame:
     few = left.join(large, "g", "left_anti")
     second = few.alias("a").join(few.alias("b"), F.expr(f"a.g = b.g AND a.fp < b.fp AND a.comp <> b.comp AND {_may('a', 'b')}"))
     two = similar(found, stored(least(second), "near-pairs"))
-    many = stored(in_blocks(found, left.join(large, "g", "left_semi").select("g", "fp", "comp")), "near-links")
+    many = similar(found, stored(in_blocks(found, left.join(large, "g", "left_semi").select("g", "fp", "comp")), "near-pairs"))
     discard(left, comp)
     return one.union(two).union(many)
 
 
 def in_blocks(found: DataFrame, left: DataFrame) -> DataFrame:
-    """The similar pairs (u, v) of different components among the sets that share a shingle g.
+    """The pairs (u, v) of different components that can be similar, among the sets that share a shingle g.
 
     Sets outside the largest component of g are dealt into blocks, and so are its own; a task compares
     one of the former with one of either. Each set goes to as many tasks as there are blocks of the
@@ -184,23 +187,27 @@ def in_blocks(found: DataFrame, left: DataFrame) -> DataFrame:
     inner = F.transform(upto("outer"), lambda i: place(i, F.col("mine"), True))
     outer = F.concat(F.transform(upto("inner"), lambda j: place(F.col("mine"), j, True)), F.transform(upto("outer"), lambda j: place(F.least(j, F.col("mine")), F.greatest(j, F.col("mine")), False)))
     placed = own.withColumn("mine", mine).select("g", "fp", "comp", "inside", F.explode(F.when(F.col("inside"), inner).otherwise(outer)).alias("p"))
-    held = found.select("fp", "grams").join(left.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
-    rows = placed.join(stored(held, "near-sets"), "fp").select("g", "p.i", "p.j", "p.within", "fp", "comp", "inside", "grams")
+    # four bytes of a hash: those that fall together by chance make two sets no less alike, but for SLACK
+    least = F.transform(F.slice("grams", 1, KEPT), lambda x: (x % F.lit(2**31 - 1)).cast("int"))
+    held = found.join(left.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first(least).alias("hashes"), F.first(F.size("grams")).alias("n"))
+    rows = placed.join(stored(held, "near-sets"), "fp").select("g", "p.i", "p.j", "p.within", "fp", "comp", "inside", "hashes", "n")
     return rows.groupBy("g", "i", "j", "within").applyInArrow(_compared, "u long, v long").distinct()
 
 
+#: Hashes of one set that may fall together in four bytes.
+SLACK = 2
+
+
 def _compared(block: pa.Table) -> pa.Table:
-    """Links between a block's sets of different components; where some lie inside the largest, between those and the rest."""
+    """Pairs of a block's sets of different components that can be similar; within the largest component's reach, one of it and one not."""
     block = block.combine_chunks()
-    fp, comp, inside, within = (block[c].to_numpy() for c in ("fp", "comp", "inside", "within"))
-    grams = block["grams"].chunk(0) if len(fp) else None
-    size = grams.value_lengths().to_numpy().astype(np.int64)
-    tokens, number = np.unique(grams.flatten().to_numpy(), return_inverse=True)
-    row = np.repeat(np.arange(len(fp)), size)
-    times = np.bincount(number, minlength=len(tokens))
-    place = np.cumsum(times > 1) - 1  # only shingles of several sets count
-    kept = times[number] > 1
-    column, row = place[number[kept]], row[kept]
+    fp, comp, inside, within, n = (block[c].to_numpy() for c in ("fp", "comp", "inside", "within", "n"))
+    lists = block["hashes"].combine_chunks()
+    hashes, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    row = np.repeat(np.arange(len(fp)), lists.value_lengths().to_numpy())
+    several = np.bincount(number, minlength=len(hashes)) > 1
+    kept = several[number]
+    column, row = (np.cumsum(several) - 1)[number[kept]], row[kept]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
     both = np.zeros((len(fp), len(fp)), np.float32)
@@ -209,7 +216,9 @@ def _compared(block: pa.Table) -> pa.Table:
         has = np.zeros((len(fp), COLUMNS), np.float32)
         has[row[part], column[part] - at] = 1
         both += has @ has.T
-    alike = (9 * both >= 4 * (size[:, None] + size[None, :])) & (comp[:, None] != comp[None, :]) & (fp[:, None] < fp[None, :])
+    x, y = n[:, None].astype(np.int64), n[None, :].astype(np.int64)
+    enough = np.where(np.maximum(x, y) <= KEPT, 9 * (both + SLACK) >= 4 * (x + y), both + SLACK >= SHARED)
+    alike = enough & (5 * x >= 4 * y) & (5 * y >= 4 * x) & (comp[:, None] != comp[None, :]) & (fp[:, None] < fp[None, :])
     if len(fp) and within[0]:
         alike &= inside[:, None] != inside[None, :]
     u, v = np.nonzero(alike)
