@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import facets as fc
+from ..operators.grouping import top_docs
 from ..operators.pipeline import Accumulator, Pipeline
 from ..tables import customers, lineitems, orders, table
 
@@ -57,6 +58,7 @@ QUERIES = {
     "agg_sub_aggregates": _sub,
     "grouped_docs": _grouped,
     "grouped_docs_topn": _top_docs,
+    "grouped_docs_all": lambda s, d: top_docs(table(s, d, "orders"), "o_custkey", "o_orderkey", 2, within=[F.desc("o_totalprice")]).select("o_custkey", "o_orderkey", "doc_rank", "group_rank"),
     "group_composite_page": lambda s, d: (o := orders(s, d)).query().composite_group_by(o.model.o_custkey, page_size=20, after=100),
     "facet_flat": lambda s, d: fc.top(customers(s, d).df, "c_mktsegment", limit=3),
     "facet_multi_valued": lambda s, d: fc.top(table(s, d, "part").withColumn("words", F.split("p_name", " ")), "words", limit=10),
@@ -65,7 +67,7 @@ QUERIES = {
     "facet_child_total_counts": lambda s, d: fc.totals(_facet_docs(s, d).df, "date", ("1996",), limit=5),
     "facet_drilldown": lambda s, d: (o := _facet_docs(s, d)).query().filter(o.model.field("date").drill_down("1996", "3")).df.select("o_orderkey"),
     "facet_only_this_level": lambda s, d: (o := _facet_docs(s, d)).query().filter(o.model.field("date").drill_down("1996", only_this_level=True)).df.select("o_orderkey"),
-    "lookup_one": lambda s, d: Pipeline(table(s, d, "orders").where("o_orderkey % 10 = 0")).lookup_one(table(s, d, "customer"), "o_custkey", "c_custkey", "customer").df.select("o_orderkey", F.col("customer.c_name").alias("c_name")),
+    "lookup_one": lambda s, d: Pipeline(table(s, d, "orders")).lookup_one(table(s, d, "customer"), "o_custkey", "c_custkey", "customer").df.select("o_orderkey", F.col("customer.c_name").alias("c_name")),
     "lookup_many_counts": lambda s, d: Pipeline(table(s, d, "customer")).lookup_many(table(s, d, "orders"), "c_custkey", "o_custkey", "orders").df.select("c_custkey", F.size("orders").cast("long").alias("n")),
     "pipeline_unwind_group": lambda s, d: Pipeline(table(s, d, "part")).unwind(F.split("p_name", " "), "word").group_by(["word"], n=F.count("*"), dearest=F.max("p_retailprice")).match(F.col("n") > 5).df,
     "pipeline_group3": lambda s, d: Pipeline(table(s, d, "lineitem")).group_by(["l_returnflag", "l_linestatus"], n=F.count("*"), most=F.max("l_quantity"), orders=F.count_distinct("l_orderkey")).df,
@@ -92,6 +94,7 @@ ORACLES = {
     "agg_count_rows": "SELECT count(DISTINCT o_custkey) AS buckets FROM orders",
     "agg_sub_aggregates": "SELECT c_nationkey AS nation, sum(count(*)) OVER (PARTITION BY c_nationkey)::BIGINT AS total, c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1, 3",
     "grouped_docs": "SELECT c_mktsegment AS key, c_custkey FROM customer WHERE c_acctbal > 9900",
+    "grouped_docs_all": "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS doc_rank, dense_rank() OVER (ORDER BY o_custkey) AS group_rank FROM orders) SELECT o_custkey, o_orderkey, doc_rank::INT AS doc_rank, group_rank::BIGINT AS group_rank FROM r WHERE doc_rank <= 2",
     "grouped_docs_topn": "WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS doc_rank, dense_rank() OVER (ORDER BY o_orderpriority) AS group_rank FROM orders) SELECT o_orderpriority, o_orderkey, doc_rank::INT AS doc_rank, group_rank::INT AS group_rank, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS total_groups FROM r WHERE doc_rank <= 3 AND group_rank <= 4",
     "group_composite_page": "SELECT o_custkey AS key, count(*) AS n FROM orders WHERE o_custkey > 100 GROUP BY 1 ORDER BY 1 LIMIT 20",
     "facet_flat": "SELECT c_mktsegment AS label, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3",
@@ -101,7 +104,7 @@ ORACLES = {
     "facet_child_total_counts": f"WITH {_DATES}, c AS (SELECT CASE WHEN len(p) > 1 THEN p[2] ELSE '$ROOT$' END AS label, count(*) AS n FROM f WHERE p[1] = '1996' GROUP BY 1) SELECT (SELECT count(*) FROM c) AS child_count, (SELECT sum(n) FROM (SELECT n FROM c WHERE label <> '$ROOT$' ORDER BY n DESC, label LIMIT 5))::BIGINT AS total_count",
     "facet_drilldown": f"WITH {_DATES} SELECT o_orderkey FROM f WHERE p[1:2] = ['1996', '3']",
     "facet_only_this_level": f"WITH {_DATES} SELECT o_orderkey FROM f WHERE p = ['1996']",
-    "lookup_one": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0",
+    "lookup_one": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey",
     "lookup_many_counts": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "pipeline_unwind_group": "SELECT word, count(*) AS n, max(p_retailprice) AS dearest FROM (SELECT unnest(string_split(p_name, ' ')) AS word, p_retailprice FROM part) GROUP BY 1 HAVING count(*) > 5",
     "pipeline_group3": "SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_quantity) AS most, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1, 2",

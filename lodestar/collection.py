@@ -133,7 +133,7 @@ class Transaction:
     def delete(self, *keys: Any) -> None:
         gone = self.current.where(F.col(self.key).isin(list(keys)))
         self._note(gone)
-        self.current = self.current.where(~F.col(self.key).isin(list(keys)))
+        self.current = self.current.where(~F.coalesce(F.col(self.key).isin(list(keys)), F.lit(False)))  # rows without a key stay
 
     def truncate(self) -> None:
         self._note(self.current)

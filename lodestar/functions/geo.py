@@ -132,8 +132,9 @@ def _cross(a: tuple, b: tuple, c: tuple, d: tuple) -> bool:
 
 
 def _covers_point(g: Geo, p: tuple) -> bool:
-    if g.kind == "MultiPolygon":
-        return any(_inside(p, list(r)) for r in g.parts)
+    if g.kind == "MultiPolygon":  # polygons don't overlap, so a point within a hole lies in an even number of rings
+        rings = [list(r) for r in g.parts]
+        return any(_on(p, a, b) for r in rings for a, b in _edges(r)) or sum(_inside(p, r) for r in rings) % 2 == 1
     if g.kind == "Polygon":
         rings = [list(r) for r in g.parts]
         return _inside(p, rings[0]) and not any(_inside(p, h) and not any(_on(p, a, b) for a, b in _edges(h)) for h in rings[1:])
@@ -221,16 +222,30 @@ def from_geojson(text: str | dict) -> Geo | list[Geo]:
     if kind == "GeometryCollection":
         found = [from_geojson(x) for x in g["geometries"]]
         return [x for r in found for x in ([r] if isinstance(r, Geo) else r)]
+    if kind == "FeatureCollection":
+        found = [from_geojson(x) for x in g["features"] if x.get("geometry")]
+        return [x for r in found for x in ([r] if isinstance(r, Geo) else r)]
     if kind == "Feature":
         return from_geojson(g["geometry"])
     depth = {"Point": 0, "MultiPoint": 1, "LineString": 1, "Polygon": 2, "MultiLineString": 2, "MultiPolygon": 3}[kind]
-    rings = [[at]] if depth == 0 else [at] if depth == 1 else at if depth == 2 else [p[0] for p in at]
+    rings = [[at]] if depth == 0 else [at] if depth == 1 else at if depth == 2 else [r for p in at for r in p]
     return Geo(kind, tuple(tuple((float(p[1]), float(p[0])) for p in r) for r in rings))
 
 
+def _polygons(g: Geo) -> list[list[int]]:
+    """Places of a multipolygon's rings, each outer ring with the holes within it."""
+    rings = [list(r) for r in g.parts]
+    around = [[j for j, o in enumerate(rings) if j != i and all(_inside(p, o) for p in r)] for i, r in enumerate(rings)]
+    outer = {i: [i] for i, a in enumerate(around) if len(a) % 2 == 0}
+    for i, a in enumerate(around):
+        if len(a) % 2:
+            outer[max((j for j in a if j in outer), key=lambda j: len(around[j]))].append(i)
+    return list(outer.values())
+
+
 def to_geojson(g: Geo) -> str:
     rings = [[[lon, lat] for lat, lon in r] for r in g.parts]
-    at = {"Point": lambda: rings[0][0], "MultiPoint": lambda: rings[0], "LineString": lambda: rings[0], "MultiPolygon": lambda: [[r] for r in rings]}.get(g.kind, lambda: rings)()
+    at = {"Point": lambda: rings[0][0], "MultiPoint": lambda: rings[0], "LineString": lambda: rings[0], "MultiPolygon": lambda: [[rings[i] for i in p] for p in _polygons(g)]}.get(g.kind, lambda: rings)()
     return json.dumps({"type": g.kind, "coordinates": at})
 
 

@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Levels after which what was seen is written as one table.
+LEVELS = 16
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; in one process (tests) a local one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -57,13 +61,17 @@ def bfs(edges: DataFrame, seeds: Sequence | DataFrame, max_depth: int | None = N
     step = edges.select(F.col("_from"), F.col("_to")).distinct()
     seen = settle(_seeds(edges.sparkSession, seeds, edges).withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
+    levels = [seen]  # each written once
     while max_depth is None or depth < max_depth:
         depth += 1
         reached = frontier.join(step, F.col("node") == F.col("_from")).select(F.col("_to").alias("node")).distinct()
         frontier = settle(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = settle(seen.union(frontier))
+        levels.append(frontier)
+        seen = seen.union(frontier)
+        if len(levels) % LEVELS == 0:  # else the plan grows with the depth
+            seen = settle(seen)
     return seen
 
 
@@ -118,8 +126,8 @@ def all_paths(edges: DataFrame, source, target, max_depth: int) -> DataFrame:
     return done
 
 
-def shortest_paths(edges: DataFrame, source, target, max_depth: int = 64) -> DataFrame:
-    """(path, length): all paths of the fewest edges."""
+def shortest_paths(edges: DataFrame, source, target, max_depth: int | None = None) -> DataFrame:
+    """(path, length): all paths of the fewest edges; the search ends when nothing new is reached, or at ``max_depth``."""
     step = edges.select("_from", "_to").distinct()
     out = bfs(step, [source], max_depth)
     found = out.where(F.col("node") == F.lit(target)).first()

@@ -70,8 +70,10 @@ class View:
         """
         if self.scope is None or self._path is None:
             return self.rebuild()
-        fresh = self.plan().where(F.col(self.scope).isin(scopes))
+        wanted = F.col(self.scope).isin([s for s in scopes if s is not None])
+        fresh = self.plan().where(wanted | F.col(self.scope).isNull() if None in scopes else wanted)
         path = self.spark._jvm.org.apache.hadoop.fs.Path
+        folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
         rows = fresh.cache()
         n = rows.count()
         left = {r[0] for r in rows.select(self.scope).distinct().collect()}  # at most the scopes asked for
@@ -79,7 +81,7 @@ class View:
         rows.unpersist()
         for s in scopes:
             if s not in left:
-                p = path(f"{self._path}/{self.scope}={s}")
+                p = path(f"{self._path}/{folder(self.scope, None if s is None else str(s))}")  # as the writer names it
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
         self.refreshed = time.time()
         return n

@@ -267,6 +267,8 @@ class Query:
             matching = matching.cache()  # page, total and facets read the same matches
         total = matching.count() if self.with_total else None
         facets = {r.name: compute(matching, r) for r in self.facets_}
+        if several:
+            matching.unpersist()
         return SearchResults(replace(self, limit_=size)._with_hits(replace(self, limit_=size)._sorted(matching)), self.offset_, total, facets, size)
 
     def stream(self) -> Iterator[Row]:

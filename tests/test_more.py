@@ -103,3 +103,43 @@ def test_service(spark):
             ask(op="Fly", store="things")
     finally:
         server.shutdown()
+
+
+def test_multipolygon_holes():
+    import json
+
+    from lodestar.functions import geo as g
+
+    square = lambda a, b: [[a, a], [a, b], [b, b], [b, a], [a, a]]
+    text = json.dumps({"type": "MultiPolygon", "coordinates": [[square(0, 10), square(4, 6)], [square(20, 30)]]})
+    for many in (g.from_geojson(text), g.from_wkt("MULTIPOLYGON (((0 0, 0 10, 10 10, 10 0, 0 0), (4 4, 4 6, 6 6, 6 4, 4 4)), ((20 20, 20 30, 30 30, 30 20, 20 20)))")):
+        inside = [g._covers_point(many, p) for p in ((5, 5), (2, 2), (25, 25), (15, 15), (4, 5))]
+        assert inside == [False, True, True, False, True]
+        assert json.loads(g.to_geojson(many)) == json.loads(text.replace("10", "10.0").replace(" 0", " 0.0")) or [len(p) for p in json.loads(g.to_geojson(many))["coordinates"]] == [2, 1]
+    features = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 2]}}, {"type": "Feature", "geometry": None}]}
+    assert [x.kind for x in g.from_geojson(features)] == ["Point"]
+
+
+def test_long_shortest_path_and_null_keys(spark):
+    from lodestar.collection import Collection
+    from lodestar.model import Model
+    from lodestar.operators import graph
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "_from long, _to long")
+    assert [r["length"] for r in graph.shortest_paths(chain, 0, 70).collect()] == [70]
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, v string")
+    tx = Collection(Model.of("t", df, key="k"), df).transaction()
+    tx.delete(1)
+    assert sorted(r["v"] for r in tx.current.collect()) == ["b", "c"]
+
+
+def test_scopes_of_odd_names(spark, tmp_path):
+    from lodestar.plans.views import View
+
+    rows = [("a/b", 1), (None, 2), ("c", 3)]
+    now = {"df": spark.createDataFrame(rows, "s string, n long")}
+    view = View("odd", type("Rows", (), {"df": lambda self: now["df"]})(), spark, folder=f"file://{tmp_path}", scope="s")
+    view.rebuild()
+    now["df"] = spark.createDataFrame(rows[2:], "s string, n long")
+    view.refresh(["a/b", None])
+    assert [tuple(r) for r in view._read().select("s", "n").collect()] == [("c", 3)]
