@@ -21,7 +21,7 @@ can be links leave it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ KEPT, SHARED = 256, 140
 
 
 def sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """A row per document: doc_id, fp (a hash of the shingle set), two hashes of the text, the SimHash fingerprint, the set (sorted).
+    """A row per document: doc_id, fp (a hash of the shingle set), two hashes of the text, the SimHash fingerprint, the set (sorted, eight bytes a shingle).
 
     Words are those of :func:`simhash.fingerprint`; a text without any has the empty set.
     """
@@ -57,12 +57,12 @@ def sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
             own = [np.unique(h.view(np.int64)) for h in every]
             fp = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in own], np.uint64).view(np.int64)
             bits = np.array([simhash.majority(h) if len(h) else 0 for h in every], np.uint64).view(np.int64)
-            grams = pa.ListArray.from_arrays(np.cumsum([0, *map(len, own)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
+            grams = pa.array([g.tobytes() for g in own], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2), batch.column(3), pa.array(bits), grams], ["doc_id", "fp", "h1", "h2", "bits", "grams"])
 
     text = F.col("text")
     keyed = doc_columns(docs).withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit("second"), text)})
-    return keyed.mapInArrow(run, "doc_id long, fp long, h1 long, h2 long, bits long, grams array<long>")
+    return keyed.mapInArrow(run, "doc_id long, fp long, h1 long, h2 long, bits long, grams binary")
 
 
 def close_fingerprints(found: DataFrame) -> DataFrame:
@@ -85,13 +85,19 @@ def prefixes(found: DataFrame) -> DataFrame:
     set by chance let some through.
     """
     every = max(1, found.count() // SAMPLE)
-    seen = found.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp", F.explode("grams").alias("g")).distinct()
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], ["g"])
+
+    seen = found.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).dropDuplicates(["fp"]).select("grams").mapInArrow(unpacked, "g long")
     often = seen.groupBy("g").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "g").limit(COMMON).toArrow().sort_by("g")
     common, times = (often[c].to_numpy() if len(often) else np.zeros(1, np.int64) for c in ("g", "n"))
 
     def run(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
-            grams, offsets = batch.column(1).flatten().to_numpy(), np.cumsum([0, *batch.column(1).value_lengths().to_pylist()])
+            own = batch.column(1).to_pylist()
+            grams, offsets = np.frombuffer(b"".join(own), np.int64), np.cumsum([0, *(len(x) // 8 for x in own)])
             where = np.minimum(np.searchsorted(common, grams), len(common) - 1)
             count = np.where(common[where] == grams, times[where], 0)
             g, fp, n, at = [], [], [], []
@@ -128,16 +134,23 @@ def similar(found: DataFrame, pairs: DataFrame) -> DataFrame:
     below 1e-19. Sets of up to SKETCH shingles are compared whole at once.
     """
 
-    def compared(of: DataFrame, part: Column, where: str, what: str) -> DataFrame:
+    def compared(of: DataFrame, part: Column, enough: Callable[[int, int, int], bool], what: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces_of(batches):
+                pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                sets_ = ((np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in pairs)
+                good = [enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)) for x, y in sets_]
+                yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
         ends = of.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
         held = stored(found.select("fp", part.alias("grams")).join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams")), "near-sets")
         a, b = held.select(F.col("fp").alias("u"), F.col("grams").alias("x")), held.select(F.col("fp").alias("v"), F.col("grams").alias("y"))
-        out = stored(of.join(a, "u").join(b, "v").where(where).select("u", "v"), what)
+        out = stored(of.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), what)
         discard(held)
         return out
 
-    alike = compared(pairs, F.slice("grams", 1, SKETCH), f"{AGREE} * size(array_intersect(x, y)) >= least(size(x), size(y))", "near-alike")
-    links = compared(alike, F.col("grams"), "9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))", "near-links")
+    alike = compared(pairs, F.substring("grams", 1, 8 * SKETCH), lambda both, x, y: AGREE * both >= min(x, y), "near-alike")
+    links = compared(alike, F.col("grams"), lambda both, x, y: 9 * both >= 4 * (x + y), "near-links")
     discard(alike)
     return links
 
@@ -187,24 +200,18 @@ def in_blocks(found: DataFrame, left: DataFrame) -> DataFrame:
     inner = F.transform(upto("outer"), lambda i: place(i, F.col("mine"), True))
     outer = F.concat(F.transform(upto("inner"), lambda j: place(F.col("mine"), j, True)), F.transform(upto("outer"), lambda j: place(F.least(j, F.col("mine")), F.greatest(j, F.col("mine")), False)))
     placed = own.withColumn("mine", mine).select("g", "fp", "comp", "inside", F.explode(F.when(F.col("inside"), inner).otherwise(outer)).alias("p"))
-    # four bytes of a hash: those that fall together by chance make two sets no less alike, but for SLACK
-    least = F.transform(F.slice("grams", 1, KEPT), lambda x: (x % F.lit(2**31 - 1)).cast("int"))
-    held = found.join(left.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first(least).alias("hashes"), F.first(F.size("grams")).alias("n"))
+    held = found.join(left.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first(F.substring("grams", 1, 8 * KEPT)).alias("hashes"), F.first(F.expr("octet_length(grams) div 8")).alias("n"))
     rows = placed.join(stored(held, "near-sets"), "fp").select("g", "p.i", "p.j", "p.within", "fp", "comp", "inside", "hashes", "n")
     return rows.groupBy("g", "i", "j", "within").applyInArrow(_compared, "u long, v long").distinct()
 
 
-#: Hashes of one set that may fall together in four bytes.
-SLACK = 2
-
-
 def _compared(block: pa.Table) -> pa.Table:
     """Pairs of a block's sets of different components that can be similar; within the largest component's reach, one of it and one not."""
     block = block.combine_chunks()
     fp, comp, inside, within, n = (block[c].to_numpy() for c in ("fp", "comp", "inside", "within", "n"))
-    lists = block["hashes"].combine_chunks()
-    hashes, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    row = np.repeat(np.arange(len(fp)), lists.value_lengths().to_numpy())
+    lists = block["hashes"].to_pylist()
+    hashes, number = np.unique(np.frombuffer(b"".join(lists), np.int64), return_inverse=True)
+    row = np.repeat(np.arange(len(fp)), [len(x) // 8 for x in lists])
     several = np.bincount(number, minlength=len(hashes)) > 1
     kept = several[number]
     column, row = (np.cumsum(several) - 1)[number[kept]], row[kept]
@@ -216,8 +223,8 @@ def _compared(block: pa.Table) -> pa.Table:
         has = np.zeros((len(fp), COLUMNS), np.float32)
         has[row[part], column[part] - at] = 1
         both += has @ has.T
-    x, y = n[:, None].astype(np.int64), n[None, :].astype(np.int64)
-    enough = np.where(np.maximum(x, y) <= KEPT, 9 * (both + SLACK) >= 4 * (x + y), both + SLACK >= SHARED)
+    x, y = n[:, None], n[None, :]
+    enough = np.where(np.maximum(x, y) <= KEPT, 9 * both >= 4 * (x + y), both >= SHARED)
     alike = enough & (5 * x >= 4 * y) & (5 * y >= 4 * x) & (comp[:, None] != comp[None, :]) & (fp[:, None] < fp[None, :])
     if len(fp) and within[0]:
         alike &= inside[:, None] != inside[None, :]
