@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -70,6 +71,15 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark deletes the shuffle files of finished steps only after that.
+
+    For operators of many steps, whose files would else add up until the driver happens to collect.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def open_shared(path: str, mode: str):
     """Open a file of the shared folder on any machine; file: needs a mounted path, other schemes pyarrow."""
     if path.startswith(("file:", "/")):

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, discard, doc_columns, pieces_of, stored
+from .common import connected_components, discard, doc_columns, pieces_of, stored, tidy
 from .simhash import SEED, keep_least
 from .substring import BITS, _bitmap, _in
 
@@ -150,6 +150,7 @@ def similar(found: DataFrame, pairs: DataFrame) -> DataFrame:
         return out
 
     alike = compared(pairs, F.substring("grams", 1, 8 * SKETCH), lambda both, x, y: AGREE * both >= min(x, y), "near-alike")
+    tidy(found.sparkSession)
     links = compared(alike, F.col("grams"), lambda both, x, y: 9 * both >= 4 * (x + y), "near-links")
     discard(alike)
     return links
@@ -157,9 +158,12 @@ def similar(found: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def links(found: DataFrame) -> DataFrame:
     """Pairs of similar sets that connect what all similar pairs connect."""
+    spark = found.sparkSession
     close = close_fingerprints(found)
     none = similar(found, close)
+    tidy(spark)
     keys = stored(prefixes(found), "near-prefixes")
+    tidy(spark)
     shared = keys.groupBy("g").agg(F.count("*").alias("held")).where("held > 1")
     met = stored(keys.join(shared, "g"), "near-met")
     discard(keys)
@@ -169,6 +173,7 @@ def links(found: DataFrame) -> DataFrame:
     first = met.alias("a").join(leader.alias("b"), F.expr(f"a.g = b.g AND a.fp <> b.fp AND {_may('a', 'b')}"))
     least = lambda df: df.select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct()
     one = none.union(similar(found, stored(least(first).join(close, ["u", "v"], "left_anti"), "near-pairs")))
+    tidy(spark)
     comp = stored(connected_components(one).select(F.col("node").alias("fp"), "comp"), "near-comp")
     named = met.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     mixed = named.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("g")
@@ -177,9 +182,12 @@ def links(found: DataFrame) -> DataFrame:
     large = left.groupBy("g").agg(F.count("*").alias("held")).where(F.col("held") > FEW).select("g")
     few = left.join(large, "g", "left_anti")
     second = few.alias("a").join(few.alias("b"), F.expr(f"a.g = b.g AND a.fp < b.fp AND a.comp <> b.comp AND {_may('a', 'b')}"))
+    tidy(spark)
     two = similar(found, stored(least(second), "near-pairs"))
+    tidy(spark)
     many = similar(found, stored(in_blocks(found, left.join(large, "g", "left_semi").select("g", "fp", "comp")), "near-pairs"))
     discard(left, comp)
+    tidy(spark)
     return one.union(two).union(many)
 
 
