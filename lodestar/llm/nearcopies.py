@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import simhash, tokens
 from .common import connected_components, discard, doc_columns, pieces_of, stored, tidy
 from .simhash import SEED, keep_least
-from .substring import BITS, _bitmap, _in
+from .substring import BITS, _bitmap, _in, _words
 
 SHINGLE = 5
 #: Sets whose shingles are counted for the order, and how many of the commonest are set apart.
@@ -52,6 +52,7 @@ def sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.encoder.cache_clear()  # what a packing before this left in the worker
         for batch in pieces_of(batches):
             every = [simhash.shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
             own = [np.unique(h.view(np.int64)) for h in every]
@@ -65,6 +66,19 @@ def sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, fp long, h1 long, h2 long, bits long, grams binary")
 
 
+def among(found: DataFrame, ends: DataFrame, **columns: Column) -> DataFrame:
+    """A row (fp and a set's columns) for each of the sets ``ends`` (column fp).
+
+    Sets are large and ``ends`` few, so rows that can't be wanted go before the shuffle, by a broadcast
+    bitmap of at most 2^(BITS - 6) rows of two longs; the join after it is exact, however full the bitmap.
+    Copies of a set are folded in the tasks that read them.
+    """
+    words = F.broadcast(_words(ends.select(F.col("fp").alias("mini")), BITS))
+    bit = F.expr("b & shiftleft(1L, cast((fp & 63L) as int)) <> 0L")
+    may = found.select("fp", *[c.alias(n) for n, c in columns.items()]).join(words, (F.shiftright(F.col("fp").bitwiseAND(F.lit((1 << BITS) - 1)), 6) == F.col("i")) & bit, "left_semi")
+    return may.groupBy("fp").agg(*[F.first(n).alias(n) for n in columns]).join(ends, "fp", "left_semi")
+
+
 def close_fingerprints(found: DataFrame) -> DataFrame:
     """Pairs (u, v) of sets: each with the least one of its fingerprint, and the least ones of fingerprints in reach."""
     held = found.select("fp", "bits").distinct()
@@ -143,7 +157,7 @@ def similar(found: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
         ends = of.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-        held = stored(found.select("fp", part.alias("grams")).join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams")), "near-sets")
+        held = stored(among(found, ends, grams=part), "near-sets")
         a, b = held.select(F.col("fp").alias("u"), F.col("grams").alias("x")), held.select(F.col("fp").alias("v"), F.col("grams").alias("y"))
         out = stored(of.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), what)
         discard(held)
@@ -208,7 +222,7 @@ def in_blocks(found: DataFrame, left: DataFrame) -> DataFrame:
     inner = F.transform(upto("outer"), lambda i: place(i, F.col("mine"), True))
     outer = F.concat(F.transform(upto("inner"), lambda j: place(F.col("mine"), j, True)), F.transform(upto("outer"), lambda j: place(F.least(j, F.col("mine")), F.greatest(j, F.col("mine")), False)))
     placed = own.withColumn("mine", mine).select("g", "fp", "comp", "inside", F.explode(F.when(F.col("inside"), inner).otherwise(outer)).alias("p"))
-    held = found.join(left.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first(F.substring("grams", 1, 8 * KEPT)).alias("hashes"), F.first(F.expr("octet_length(grams) div 8")).alias("n"))
+    held = among(found, left.select("fp").distinct(), hashes=F.substring("grams", 1, 8 * KEPT), n=F.expr("octet_length(grams) div 8"))
     rows = placed.join(stored(held, "near-sets"), "fp").select("g", "p.i", "p.j", "p.within", "fp", "comp", "inside", "hashes", "n")
     return rows.groupBy("g", "i", "j", "within").applyInArrow(_compared, "u long, v long").distinct()
 

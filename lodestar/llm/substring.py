@@ -84,10 +84,15 @@ def _blocks(words: list[bytes], window: int) -> Iterator[tuple[int, list[bytes]]
         yield at, words[at : at + BLOCK + window - 1]
 
 
-def _bitmap(minis: DataFrame, bits: int) -> np.ndarray:
-    """2^bits bits, those of the low bits of ``mini`` set; at most 2^(bits-6) rows reach the driver."""
+def _words(minis: DataFrame, bits: int) -> DataFrame:
+    """A bitmap of 2^bits bits, those of the low bits of ``mini`` set, as words (i, b): at most 2^(bits-6) rows."""
     low = F.col("mini").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = minis.select(F.shiftright(low, 6).alias("i"), F.expr("shiftleft(1L, cast((mini & 63L) as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    return minis.select(F.shiftright(low, 6).alias("i"), F.expr("shiftleft(1L, cast((mini & 63L) as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+
+
+def _bitmap(minis: DataFrame, bits: int) -> np.ndarray:
+    """The words of :func:`_words` as an array."""
+    rows = _words(minis, bits).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[rows["i"].to_numpy()] = rows["b"].to_numpy()
     return out
