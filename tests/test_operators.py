@@ -182,3 +182,19 @@ def test_changes(spark, tmp_path):
     stream = changes.follow(spark, log, schema, "_id", str(tmp_path / "t"), str(tmp_path / "cp"), lambda keys, path: seen.append((keys.count(), path)))
     stream.awaitTermination(60)
     assert [tuple(r) for r in spark.read.parquet(seen[-1][1]).collect()] == [("a", 5)] and seen[-1][0] == 2
+
+
+def test_changes_restart_and_late_writes(spark, tmp_path):
+    schema = spark.createDataFrame([("a", 1, "upsert", 1)], "_id string, n int, _op string, _seq int").schema
+    log, seen = str(tmp_path / "log"), []
+
+    def write(*rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(log)
+        changes.follow(spark, log, schema, "_id", str(tmp_path / "t"), str(tmp_path / "cp"), lambda keys, path: seen.append((sorted(r[0] or "" for r in keys.collect()), path))).awaitTermination(60)
+        return seen[-1][0], sorted((r[0] or "", r[1]) for r in spark.read.parquet(seen[-1][1]).collect())
+
+    first = write(("a", 1, "upsert", 1), ("b", 2, "upsert", 5), ("d", 4, "upsert", 6), (None, 9, "upsert", 1))
+    assert first == (["", "a", "b", "d"], [("", 9), ("a", 1), ("b", 2), ("d", 4)])
+    assert write(("c", 3, "upsert", 7), ("d", 0, "delete", 8)) == (["c", "d"], [("", 9), ("a", 1), ("b", 2), ("c", 3)])
+    late = write(("b", 7, "upsert", 4), ("d", 7, "upsert", 7), ("a", 8, "upsert", 9), (None, 5, "upsert", 2))
+    assert late == (["", "a"], [("", 5), ("a", 8), ("b", 2), ("c", 3)])
