@@ -28,9 +28,16 @@ PATTERNS = (
     "MMM d, yyyy",
     "MMMM d, yyyy",
     "d MMMM yyyy",
+    "yyyy-MM-dd h:mm[:ss] a",
+    "yyyyMMdd HH:mm[:ss[.SSS]]",
+    "yyyyMMdd h:mm[:ss] a",
+    "d-MMM-yyyy[ HH:mm[:ss[.SSS]]]",
+    "d-MMM-yyyy h:mm[:ss] a",
 )
-MONTH_FIRST = ("M/d/yyyy HH:mm:ss", "M/d/yyyy h:mm a", "M/d/yyyy", "M-d-yyyy")
-DAY_FIRST = ("d/M/yyyy HH:mm:ss", "d/M/yyyy h:mm a", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy")
+MONTH_FIRST = ("M/d/yyyy[ HH:mm[:ss[.SSS]]]", "M/d/yyyy h:mm[:ss] a", "M-d-yyyy")
+DAY_FIRST = ("d/M/yyyy[ HH:mm[:ss[.SSS]]]", "d/M/yyyy h:mm[:ss] a", "d-M-yyyy", "d.M.yyyy")
+#: A zone after a time: its name, or hours and minutes from UTC.
+ZONE = r"\s+(GMT|UTC|Z|[+-]\d\d:?\d\d|[A-Z][A-Za-z]+(?:/[A-Za-z0-9_+-]+)+)$"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 #: Digits from which on are milliseconds.
 MILLIS_FROM = 100_000_000_000
@@ -89,12 +96,19 @@ def of(year, month=1, day=1, hour=0, minute=0, second=0) -> Column:
 
 
 def parse(c: Column, day_first: bool = False) -> Column:
-    """A time out of text: epoch seconds or milliseconds, ISO and other usual shapes; null if none fits."""
-    s = F.trim(c)
-    # weekday names and the zone of mail headers say nothing more
-    s = F.regexp_replace(F.regexp_replace(s, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"\s+(GMT|UTC|Z|\+0000)$", "")
+    """A time out of text: epoch seconds or milliseconds, ISO and other usual shapes; null if none fits.
+
+    A zone name or offset after a space holds for the time before it; without one it is the session's.
+    """
+    # weekday names say nothing more; a T between digits parts date and time
+    s = F.regexp_replace(F.trim(c), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
     digits = s.rlike(r"^-?\d{9,}$") | s.rlike(r"^-?\d{1,7}$")
     n = F.when(digits, s).cast("bigint")
     epoch = F.when(F.abs(n) >= MILLIS_FROM, F.timestamp_millis(n)).otherwise(F.timestamp_millis(n * 1000))
-    shaped = F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in (*PATTERNS, *(DAY_FIRST if day_first else MONTH_FIRST), *(MONTH_FIRST if day_first else DAY_FIRST))])
-    return F.when(digits, epoch).otherwise(shaped)
+    zone = F.regexp_replace(F.regexp_extract(s, ZONE, 1), r"^([+-]\d\d):?(\d\d)$", "$1:$2")
+    s = F.regexp_replace(s, ZONE, "")
+    spaced = F.regexp_replace(s, r"(\d)T(?=\d)", "$1 ")
+    order = (*DAY_FIRST, *MONTH_FIRST) if day_first else (*MONTH_FIRST, *DAY_FIRST)
+    shaped = F.coalesce(*[F.try_to_timestamp(s if "'T'" in p else spaced, F.lit(p)) for p in (*PATTERNS, *order)])
+    zoned = F.concat(F.date_format(shaped, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), zone).try_cast("timestamp")
+    return F.when(digits, epoch).when(zone == "", shaped).otherwise(zoned)

@@ -198,3 +198,26 @@ def test_changes_restart_and_late_writes(spark, tmp_path):
     assert write(("c", 3, "upsert", 7), ("d", 0, "delete", 8)) == (["c", "d"], [("", 9), ("a", 1), ("b", 2), ("c", 3)])
     late = write(("b", 7, "upsert", 4), ("d", 7, "upsert", 7), ("a", 8, "upsert", 9), (None, 5, "upsert", 2))
     assert late == (["", "a"], [("", 5), ("a", 8), ("b", 2), ("c", 3)])
+
+
+def test_parse_shapes(spark):
+    shapes = {
+        "05-Mar-2024": "2024-03-05 00:00:00",
+        "05-Mar-2024 14:03": "2024-03-05 14:03:00",
+        "5-mar-2024 2:03:09 PM": "2024-03-05 14:03:09",
+        "2024-03-05 2:03:09 PM": "2024-03-05 14:03:09",
+        "2024-03-05T2:03 am": "2024-03-05 02:03:00",
+        "03/05/2024 14:03": "2024-03-05 14:03:00",
+        "03/05/2024 2:03:09 PM": "2024-03-05 14:03:09",
+        "20240305 14:03:09": "2024-03-05 14:03:09",
+        "2024-03-05 14:03:09 Europe/Paris": "2024-03-05 13:03:09",
+        "2024-03-05 14:03:09 +02:00": "2024-03-05 12:03:09",
+        "Tue, 5 Mar 2024 14:03:09 -0500": "2024-03-05 19:03:09",
+        "Tue, 5 Mar 2024 14:03:09 GMT": "2024-03-05 14:03:09",
+        "2024-03-05T14:03:09+02:00": "2024-03-05 12:03:09",
+        "2024-03-05 14:03:09 Nowhere/Land": None,
+        "not a time": None,
+    }
+    df = spark.createDataFrame(list(shapes.items()), "t string, want string")
+    got = {r["t"]: r["d"] for r in df.select("t", timestamps.parse(F.col("t")).cast("string").alias("d")).collect()}
+    assert got == shapes
