@@ -80,7 +80,9 @@ def links(fps: DataFrame) -> DataFrame:
     """Pairs (u < v) of the distinct fingerprints ``fp`` at a Hamming distance of 1 or 2.
 
     Distance 0 or 1 between points meets in one's own cell, distance 2 in a cell beside both; pairs are
-    let through once in a cell, and only when the exact distance holds.
+    let through once in a cell, and only when the exact distance holds. The join is a merge join: Spark
+    takes the cells for as many as the fingerprints (there are up to 33 of each) and would broadcast them
+    from the driver.
     """
     at = fps.select("fp", segment_counts(F.col("fp")).alias("point"))
     moves = "array(struct(point AS cell, 0 AS move))"
@@ -90,7 +92,7 @@ def links(fps: DataFrame) -> DataFrame:
         one = f"shiftleft(1L, {shift})"
         moves += f", filter(array(struct(if({count} < {SEGMENT_BITS}, point + {one}, point) AS cell, if({count} < {SEGMENT_BITS}, {i + 1}, 0) AS move), struct(if({count} > 0, point - {one}, point) AS cell, if({count} > 0, {-i - 1}, 0) AS move)), x -> x.move <> 0)"
     cells = at.select("fp", F.explode(F.expr(f"concat({moves})")).alias("x")).select("fp", "x.cell", "x.move")
-    a, b = cells.alias("a"), cells.alias("b")
+    a, b = cells.alias("a").hint("merge"), cells.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS
     once = ((F.col("a.move") == 0) & (F.col("b.move") == 0)) | ((F.col("a.move") == 0) != (F.col("b.move") == 0)) | (F.col("a.move") != F.col("b.move"))
     return a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & once & near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
