@@ -210,7 +210,8 @@ def in_blocks(found: DataFrame, left: DataFrame) -> DataFrame:
 
     Sets outside the largest component of g are dealt into blocks, and so are its own; a task compares
     one of the former with one of either. Each set goes to as many tasks as there are blocks of the
-    former (which are few after the leaders), and those to one for each other block besides.
+    former (which are few after the leaders), and those to one for each other block besides. How many
+    places that makes Spark can't tell, so they are merged with the sets and never broadcast.
     """
     sizes = left.groupBy("g", "comp").agg(F.count("*").alias("c"))
     groups = sizes.groupBy("g").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.max("c").alias("inside"), F.sum("c").alias("all"))
@@ -223,7 +224,7 @@ def in_blocks(found: DataFrame, left: DataFrame) -> DataFrame:
     outer = F.concat(F.transform(upto("inner"), lambda j: place(F.col("mine"), j, True)), F.transform(upto("outer"), lambda j: place(F.least(j, F.col("mine")), F.greatest(j, F.col("mine")), False)))
     placed = own.withColumn("mine", mine).select("g", "fp", "comp", "inside", F.explode(F.when(F.col("inside"), inner).otherwise(outer)).alias("p"))
     held = among(found, left.select("fp").distinct(), hashes=F.substring("grams", 1, 8 * KEPT), n=F.expr("octet_length(grams) div 8"))
-    rows = placed.join(stored(held, "near-sets"), "fp").select("g", "p.i", "p.j", "p.within", "fp", "comp", "inside", "hashes", "n")
+    rows = placed.hint("merge").join(stored(held, "near-sets"), "fp").select("g", "p.i", "p.j", "p.within", "fp", "comp", "inside", "hashes", "n")
     return rows.groupBy("g", "i", "j", "within").applyInArrow(_compared, "u long, v long").distinct()
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestar.llm import simhash
+from lodestar.llm import nearcopies, simhash
 
 
 def plan(df):
@@ -18,3 +18,13 @@ def test_cells_are_not_broadcast(spark):
         assert "SortMergeJoin" in plan(links) and "Broadcast" not in plan(links)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_places_of_blocks_are_not_broadcast(spark, monkeypatch):
+    """32 sets in blocks of two: a set has up to 32 places."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 2)
+    found = spark.range(32).select(F.col("id").alias("fp"), F.unhex(F.lit("00" * 80)).alias("grams"))
+    left = spark.range(32).select(F.lit(1).cast("long").alias("g"), F.col("id").alias("fp"), F.col("id").alias("comp"))
+    pairs = nearcopies.in_blocks(found, left)
+    text = plan(pairs)
+    assert "SortMergeJoin [fp" in text
