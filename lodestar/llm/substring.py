@@ -10,8 +10,11 @@ and keeps a bitmap of fixed size (2^``bits``) of those that occur again; a super
 set stays where it is. Bits set by chance only make more strings travel. In buckets of over ``hot``
 occurrences (copies or passages in very many documents) equal strings are folded, before the shuffle,
 into one with its count; what is found in it is joined back to its documents, a join that adaptive
-execution can split. If over ``hot`` distinct strings are left, the bucket is split further: each of
-its windows goes to a place of its own, where its bytes are grouped and counted.
+execution can split. If over ``hot`` distinct strings are left, the bucket is split further, twice. First
+a string is cut into parts: neighbouring windows whose first minimiser stands at one of ``PART``
+neighbouring places in them. All windows of such a place have most words around the minimiser in common;
+these words name the part's bucket, and equal parts are folded. Then, where over ``hot`` distinct parts
+are left, each window goes to a place of its own, where its bytes are grouped and counted.
 
 Words of over ``LONG`` bytes travel as their SHA-256 (after a tab, which no word holds), so a string's
 size is bounded whatever the words.
@@ -36,6 +39,8 @@ WINDOW, M = 35, 8
 BITS, HOT, RUN = 26, 1024, 256
 #: Bytes from which a word is stood for by its digest in strings.
 LONG = 256
+#: Places of the minimiser in a window that make one part of a crowded string.
+PART = 8
 #: Words of a document that are looked at together.
 BLOCK = 1 << 18
 
@@ -63,8 +68,8 @@ def _sliding(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
     return f(out[: len(x) - n + 1], out[n - size : n - size + len(x) - n + 1])
 
 
-def minimisers(words: list[bytes], window: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each window's minimiser, and the hashes at the places where some window has it."""
+def _grams(words: list[bytes], m: int) -> np.ndarray:
+    """Hashes of the runs of m words."""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(h) - m + 1
     grams = np.zeros(n, np.uint64)
@@ -72,6 +77,12 @@ def minimisers(words: list[bytes], window: int, m: int) -> tuple[np.ndarray, np.
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
+    return grams
+
+
+def minimisers(words: list[bytes], window: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's minimiser, and the hashes at the places where some window has it."""
+    grams = _grams(words, m)
     wide = window - m + 1
     least = _sliding(grams, wide, np.minimum)
     edge = np.zeros(wide - 1, np.uint64)
@@ -166,12 +177,29 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, m: int = M, bits: int
         rows = ((bucket[i]["string"], a, b) for bucket in _buckets(batches) for i, a, b in repeats([x["packed"] for x in bucket], [x["times"] for x in bucket], window))
         yield from _batches(rows, ("string", "a", "b"), (pa.int64(),) * 3)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of distinct strings, with the bucket that each goes to."""
+        strings = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        rows = ((key, part, string, times, at) for mini, packed, string, times in strings for key, part, at in _parts(packed, mini, window, m))
+        yield from _batches(rows, ("mini", "packed", "string", "times", "at"), (pa.int64(), pa.binary(), *[pa.int64()] * 3), 4096)
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of distinct strings, each as its bytes."""
+        """Windows of distinct parts, each as its bytes."""
         strings = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         rows = ((packed[a:b], string, times, k) for string, packed, times in strings for k, (a, b) in enumerate(_windows(packed, window)))
         yield from _batches(rows, ("w", "string", "times", "a"), (pa.binary(), *[pa.int64()] * 3), 4096)
 
+    def in_buckets(strings: DataFrame) -> DataFrame:
+        return strings.repartition(partitions(spark), "mini").sortWithinPartitions("mini").mapInArrow(sort_distinct, "string long, a long, b long")
+
+    def back(occurrences: DataFrame, strings: DataFrame, spans: DataFrame) -> DataFrame:
+        """Spans of the strings, in what they occur in."""
+        # one row a string, so that the join's other side is what adaptive execution may split
+        folded = strings.join(spans.groupBy("string").agg(F.collect_set(F.struct("a", "b")).alias("own")), "string").select("mini", "packed", "own")
+        names = [c for c in occurrences.columns if c in ("doc_id", "h1", "h2", "string")]
+        found = occurrences.join(folded, ["mini", "packed"]).select(*names, "at", F.explode("own").alias("s"))
+        return found.select(*names, (F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.b")).alias("b"))
+
     sent = stored(keyed.mapInArrow(send, "mini long, wide boolean, doc_id long, h1 long, h2 long, at long, packed binary"), "super-k-mers")
     plain = sent.where("NOT wide").drop("wide").repartition(partitions(spark), "mini").sortWithinPartitions("mini").mapInArrow(sort, _SPAN)
     wide = sent.where("wide")
@@ -179,15 +207,16 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, m: int = M, bits: int
         return plain
     # strings that many documents share are one row each before they meet; stored, so their numbers stay
     distinct = stored(wide.groupBy("mini", "packed").agg(F.count("*").alias("times")).withColumn("string", F.monotonically_increasing_id()), "distinct-super-k-mers")
-    large = distinct.groupBy("mini").count().where(F.col("count") > hot).select("mini")
-    spans = distinct.join(large, "mini", "left_anti").repartition(partitions(spark), "mini").sortWithinPartitions("mini").mapInArrow(sort_distinct, "string long, a long, b long")
-    exploded = stored(distinct.join(large, "mini", "left_semi").select("string", "packed", "times").mapInArrow(explode, "w binary, string long, times long, a long"), "windows")
+    many_strings = distinct.groupBy("mini").count().where(F.col("count") > hot).select("mini")
+    spans = in_buckets(distinct.join(many_strings, "mini", "left_anti"))
+    cuts = stored(distinct.join(many_strings, "mini", "left_semi").select("mini", "packed", "string", "times").mapInArrow(cut, "mini long, packed binary, string long, times long, at long"), "parts")
+    parts = stored(cuts.groupBy("mini", "packed").agg(F.sum("times").alias("times")).withColumn("string", F.monotonically_increasing_id()), "distinct-parts")
+    many_parts = parts.groupBy("mini").count().where(F.col("count") > hot).select("mini")
+    exploded = stored(parts.join(many_parts, "mini", "left_semi").select("string", "packed", "times").mapInArrow(explode, "w binary, string long, times long, a long"), "windows")
     more = exploded.groupBy("w").agg(F.sum("times").alias("n")).where("n > 1").select("w")
-    spans = spans.union(exploded.join(more, "w").select("string", "a", (F.col("a") + window).alias("b")))
-    # one row a string, so that the join's other side is what adaptive execution may split
-    folded = distinct.join(spans.groupBy("string").agg(F.collect_set(F.struct("a", "b")).alias("own")), "string").select("mini", "packed", "own")
-    back = wide.join(folded, ["mini", "packed"]).select("doc_id", "h1", "h2", "at", F.explode("own").alias("s"))
-    return plain.union(back.select("doc_id", "h1", "h2", (F.col("at") + F.col("s.a")).alias("a"), (F.col("at") + F.col("s.b")).alias("b")))
+    within = in_buckets(parts.join(many_parts, "mini", "left_anti")).union(exploded.join(more, "w").select("string", "a", (F.col("a") + window).alias("b")))
+    spans = spans.union(back(cuts.select("mini", "packed", "string", "at"), parts, within))
+    return plain.union(back(wide, distinct, spans))
 
 
 def _windows(packed: bytes, window: int) -> list[tuple[int, int]]:
@@ -196,6 +225,19 @@ def _windows(packed: bytes, window: int) -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in zip(edges, edges[window:], strict=False)]
 
 
+def _parts(packed: bytes, mini: int, window: int, m: int) -> Iterator[tuple[int, bytes, int]]:
+    """(key, bytes, first window) of a string's parts. Equal windows of strings with this minimiser are in parts of equal keys."""
+    words, wide = packed.split(b" "), window - m + 1
+    at, first = np.flatnonzero(_grams(words, m).view(np.int64) == mini), np.arange(len(words) - window + 1)
+    anchor = at[np.searchsorted(at, first)]
+    group = (anchor - first) // PART
+    cuts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (group[1:] != group[:-1])) + 1
+    for a, b in itertools.pairwise([0, *cuts.tolist(), len(first)]):
+        k, p = int(group[a]), int(anchor[a])
+        core = words[p - k * PART : p - min(k * PART + PART, wide) + 1 + window]
+        yield int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(core), k)).view(np.int64)), b" ".join(words[a : b - 1 + window]), a
+
+
 def repeats(strings: list[bytes], times: list[int], window: int) -> list[tuple[int, int, int]]:
     """(string, first word, last word + 1) of what repeated windows cover, by sorting all windows of a bucket.
 
