@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import nearcopies, packing, substring, toxicity
-from lodestar.llm.common import stored, table
+from lodestar.llm.common import stored, table, tidy
 from lodestar.llm.queries import tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on ``labels``, doesn't reject."""
-    return toxicity.reject(docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
+    chain = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
+    tidy(spark)
+    return toxicity.reject(docs, chain)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +33,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, placed in sequences of at most 2048 tokens."""
     packed = packing.pack(spark, docs, tokenizer("word_bpe_49k.json"), end_id=0, capacity=2048)
+    tidy(spark)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

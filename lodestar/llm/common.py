@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -9,6 +11,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,10 +77,17 @@ def discard(*frames: DataFrame) -> None:
 def tidy(spark: SparkSession) -> None:
     """Have the driver collect its garbage: Spark deletes the shuffle files of finished steps only after that.
 
-    For operators of many steps, whose files would else add up until the driver happens to collect.
+    For operators of many steps, whose files would else add up until the driver happens to collect. What
+    the C library keeps of freed memory, in Python and in the JVM, goes back to the system, where both can.
     """
     gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
     spark._jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        jvm = spark._jvm
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(command, "systemTrimNativeHeap", None, None)
 
 
 def open_shared(path: str, mode: str):

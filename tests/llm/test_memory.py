@@ -1,8 +1,9 @@
 """What reaches the driver: joins whose rows Spark underestimates aren't broadcast."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lodestar.llm import nearcopies, simhash
+from lodestar.llm import common, nearcopies, simhash
 
 
 def plan(df):
@@ -28,3 +29,14 @@ def test_places_of_blocks_are_not_broadcast(spark, monkeypatch):
     pairs = nearcopies.in_blocks(found, left)
     text = plan(pairs)
     assert "SortMergeJoin [fp" in text
+
+
+def test_tidy_returns_freed_memory(spark):
+    def held():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+
+    blocks = [np.ones(8000) for _ in range(3000)]  # 64 kB each, from the C library's heap
+    last, before = blocks[-1], held()
+    del blocks  # the last block keeps the heap from shrinking by itself
+    common.tidy(spark)
+    assert last.sum() == 8000 and held() < before - 100
