@@ -74,20 +74,37 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Give what this Python process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _trimmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _ in batches:
+        pass
+    trim()
+    yield from ()
+
+
 def tidy(spark: SparkSession) -> None:
     """Have the driver collect its garbage: Spark deletes the shuffle files of finished steps only after that.
 
     For operators of many steps, whose files would else add up until the driver happens to collect. What
     the C library keeps of freed memory, in Python and in the JVM, goes back to the system, where both can.
+    Executors collect too, in a task for each core: their heaps otherwise keep the size that the largest
+    step so far has grown them to, beside the Python workers of all later ones.
     """
-    gc.collect()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    trim()
     spark._jvm.System.gc()
     with contextlib.suppress(Py4JError):
         jvm = spark._jvm
         command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
         jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(command, "systemTrimNativeHeap", None, None)
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("java_method('java.lang.System', 'gc') AS done").mapInArrow(_trimmed, "done string").collect()
 
 
 def open_shared(path: str, mode: str):

@@ -127,10 +127,12 @@ def prefixes(found: DataFrame) -> DataFrame:
             if g:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (g, fp, n, at)], ["g", "fp", "n", "at"])
 
+    tidy(found.sparkSession)
     own, schema = found.select("fp", "grams"), "g long, fp long, n long, at long"
     every_one = own.mapInArrow(lambda batches: run(batches, None), schema)
     several = every_one.groupBy("g").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
     shared = found.sparkSession.sparkContext.broadcast(_bitmap(several.select(F.col("g").alias("mini")), BITS))
+    tidy(found.sparkSession)
     return own.mapInArrow(lambda batches: run(batches, shared.value), schema).distinct()
 
 
@@ -158,6 +160,7 @@ def similar(found: DataFrame, pairs: DataFrame) -> DataFrame:
 
         ends = of.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
         held = stored(among(found, ends, grams=part), "near-sets")
+        tidy(found.sparkSession)
         a, b = held.select(F.col("fp").alias("u"), F.col("grams").alias("x")), held.select(F.col("fp").alias("v"), F.col("grams").alias("y"))
         out = stored(of.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), what)
         discard(held)
@@ -174,6 +177,7 @@ def links(found: DataFrame) -> DataFrame:
     """Pairs of similar sets that connect what all similar pairs connect."""
     spark = found.sparkSession
     close = close_fingerprints(found)
+    tidy(spark)
     none = similar(found, close)
     tidy(spark)
     keys = stored(prefixes(found), "near-prefixes")
@@ -181,12 +185,15 @@ def links(found: DataFrame) -> DataFrame:
     shared = keys.groupBy("g").agg(F.count("*").alias("held")).where("held > 1")
     met = stored(keys.join(shared, "g"), "near-met")
     discard(keys)
+    tidy(spark)
     score = met.groupBy("fp").agg(F.sum("held").alias("score"))
     scored = met.join(score, "fp")
     leader = scored.groupBy("g").agg(F.max(F.struct("score", "fp", "n", "at")).alias("l")).select("g", "l.fp", "l.n", "l.at")
     first = met.alias("a").join(leader.alias("b"), F.expr(f"a.g = b.g AND a.fp <> b.fp AND {_may('a', 'b')}"))
     least = lambda df: df.select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct()
-    one = none.union(similar(found, stored(least(first).join(close, ["u", "v"], "left_anti"), "near-pairs")))
+    led = stored(least(first).join(close, ["u", "v"], "left_anti"), "near-pairs")
+    tidy(spark)
+    one = none.union(similar(found, led))
     tidy(spark)
     comp = stored(connected_components(one).select(F.col("node").alias("fp"), "comp"), "near-comp")
     named = met.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
@@ -197,9 +204,13 @@ def links(found: DataFrame) -> DataFrame:
     few = left.join(large, "g", "left_anti")
     second = few.alias("a").join(few.alias("b"), F.expr(f"a.g = b.g AND a.fp < b.fp AND a.comp <> b.comp AND {_may('a', 'b')}"))
     tidy(spark)
-    two = similar(found, stored(least(second), "near-pairs"))
+    pairs = stored(least(second), "near-pairs")
+    tidy(spark)
+    two = similar(found, pairs)
     tidy(spark)
-    many = similar(found, stored(in_blocks(found, left.join(large, "g", "left_semi").select("g", "fp", "comp")), "near-pairs"))
+    pairs = stored(in_blocks(found, left.join(large, "g", "left_semi").select("g", "fp", "comp")), "near-pairs")
+    tidy(spark)
+    many = similar(found, pairs)
     discard(left, comp)
     tidy(spark)
     return one.union(two).union(many)
@@ -224,7 +235,9 @@ def in_blocks(found: DataFrame, left: DataFrame) -> DataFrame:
     outer = F.concat(F.transform(upto("inner"), lambda j: place(F.col("mine"), j, True)), F.transform(upto("outer"), lambda j: place(F.least(j, F.col("mine")), F.greatest(j, F.col("mine")), False)))
     placed = own.withColumn("mine", mine).select("g", "fp", "comp", "inside", F.explode(F.when(F.col("inside"), inner).otherwise(outer)).alias("p"))
     held = among(found, left.select("fp").distinct(), hashes=F.substring("grams", 1, 8 * KEPT), n=F.expr("octet_length(grams) div 8"))
-    rows = placed.hint("merge").join(stored(held, "near-sets"), "fp").select("g", "p.i", "p.j", "p.within", "fp", "comp", "inside", "hashes", "n")
+    held = stored(held, "near-sets")
+    tidy(found.sparkSession)
+    rows = placed.hint("merge").join(held, "fp").select("g", "p.i", "p.j", "p.within", "fp", "comp", "inside", "hashes", "n")
     return rows.groupBy("g", "i", "j", "within").applyInArrow(_compared, "u long, v long").distinct()
 
 
@@ -261,6 +274,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     Texts with fewer words than a shingle are one shingle; those without words are copies of each other.
     """
     found = stored(sets(docs, words), "near")
+    tidy(docs.sparkSession)
     comp = connected_components(links(found)).select(F.col("node").alias("fp"), "comp")
     named = found.select("fp").distinct().join(comp, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"))
     return keep_least(docs, found, named)
