@@ -97,3 +97,28 @@ def test_blocks_by_hand(monkeypatch):
         may = {(i, j) for i in range(30) for j in range(i + 1, 30) if comp[i] != comp[j] and (not within or inside[i] != inside[j])}
         alike = {(i, j) for i, j in may if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
         assert alike and got == alike
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_disk_follows_the_input(spark, monkeypatch, parts):
+    """Sets are written only for comparisons, and many pairs are compared in several rounds with the same result."""
+    made = []
+    monkeypatch.setattr(nearcopies.Sets, "rounds", lambda self, size, f=nearcopies.Sets.rounds: parts if size else f(self, size))
+    monkeypatch.setattr(nearcopies, "FEW", 3)
+    monkeypatch.setattr(nearcopies, "BLOCK", 4)
+    monkeypatch.setattr(nearcopies, "stored", lambda df, what, f=nearcopies.stored: made.append((what, df.columns)) or f(df, what))
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}"
+    line = [word() for _ in range(30)]  # in most texts, which are unlike each other besides
+    rows = [" ".join([*line, *(word() for _ in range(rng.randrange(9, 60)))]) for _ in range(60)]
+    for w in [r.split() for r in rows[:20]]:
+        w[rng.randrange(30, 38)] = word()
+        rows.append(" ".join(w))
+    rows = list(enumerate([*rows, *rows[:10]]))
+    want, pairs = plain_kept(rows)
+    assert pairs > 10 and kept(spark, spark.createDataFrame(rows, "doc_id long, text string")) == sorted(want)
+    assert not any({"grams", "hashes"} & set(columns) for what, columns in made if what != "near-sets")
+    assert [what for what, _ in made].count("near-parts") == parts
+    every = nearcopies.Sets(None, None, 5, 10**6)
+    monkeypatch.undo()
+    assert [every.rounds(x) for x in (None, 0, 1, 1024 * 10**6, 1024 * 10**6 + 1, 10**10)] == [1, 1, 1, 1, 2, 10]
