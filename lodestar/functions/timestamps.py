@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,20 +98,58 @@ def of(year, month=1, day=1, hour=0, minute=0, second=0) -> Column:
     return F.make_timestamp(*[x if isinstance(x, Column) else F.lit(x) for x in (year, month, day, hour, minute, second)])
 
 
+def shape(pattern: str) -> str:
+    """A regular expression that every text of the pattern matches: runs of digits, names, and the marks between them.
+
+    It rules out most others for a small part of what trying the pattern on them costs.
+    """
+
+    def part(found: re.Match) -> str:
+        token = found.group()
+        if token[0] == "'":
+            return re.escape(token[1:-1])
+        if token[0] == "X":
+            return r"(Z|[+-][\d:]+)"
+        if token == "a" or token.startswith("MMM"):
+            return r"\D+"
+        return r"[+-]?\d+" if token[0].isalpha() else {"[": "(", "]": ")?"}.get(token, re.escape(token))
+
+    whole = re.sub(r"yyyyMMdd|'[^']*'|([A-Za-z])\1*|[^A-Za-z']", part, pattern)
+    return f"(?is)^{whole}$"
+
+
 def parse(c: Column, day_first: bool = False) -> Column:
     """A time out of text: epoch seconds or milliseconds, ISO and other usual shapes; null if none fits.
 
     A zone name or offset after a space holds for the time before it; without one it is the session's.
     """
+    return _let(c, lambda t: _parsed(t, day_first))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is worked out once a row however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _parsed(c: Column, day_first: bool) -> Column:
     # weekday names say nothing more; a T between digits parts date and time
-    s = F.regexp_replace(F.trim(c), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
-    digits = s.rlike(r"^-?\d{9,}$") | s.rlike(r"^-?\d{1,7}$")
-    n = F.when(digits, s).cast("bigint")
-    epoch = F.when(F.abs(n) >= MILLIS_FROM, F.timestamp_millis(n)).otherwise(F.timestamp_millis(n * 1000))
-    zone = F.regexp_replace(F.regexp_extract(s, ZONE, 1), r"^([+-]\d\d):?(\d\d)$", "$1:$2")
-    s = F.regexp_replace(s, ZONE, "")
-    spaced = F.regexp_replace(s, r"(\d)T(?=\d)", "$1 ")
+    named = F.regexp_replace(F.trim(c), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
     order = (*DAY_FIRST, *MONTH_FIRST) if day_first else (*MONTH_FIRST, *DAY_FIRST)
-    shaped = F.coalesce(*[F.try_to_timestamp(s if "'T'" in p else spaced, F.lit(p)) for p in (*PATTERNS, *order)])
-    zoned = F.concat(F.date_format(shaped, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), zone).try_cast("timestamp")
-    return F.when(digits, epoch).when(zone == "", shaped).otherwise(zoned)
+
+    def read(s: Column) -> Column:
+        digits = s.rlike(r"^-?\d{9,}$") | s.rlike(r"^-?\d{1,7}$")
+        n = F.when(digits, s).cast("bigint")
+        epoch = _let(n, lambda n: F.when(F.abs(n) >= MILLIS_FROM, F.timestamp_millis(n)).otherwise(F.timestamp_millis(n * 1000)))
+        zone = F.regexp_replace(F.regexp_extract(s, ZONE, 1), r"^([+-]\d\d):?(\d\d)$", "$1:$2")
+        return F.when(digits, epoch).otherwise(_let(F.struct(zone.alias("zone"), F.regexp_replace(s, ZONE, "").alias("rest")), lambda x: timed(x["zone"], x["rest"])))
+
+    def timed(zone: Column, rest: Column) -> Column:
+        texts = F.struct(rest.alias("rest"), F.regexp_replace(rest, r"(\d)T(?=\d)", "$1 ").alias("spaced"))
+        shaped = _let(texts, lambda x: F.coalesce(*[tried(x["rest"] if "'T'" in p else x["spaced"], p) for p in (*PATTERNS, *order)]))
+        zoned = lambda at: F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), zone).try_cast("timestamp")
+        return _let(shaped, lambda at: F.when(zone == "", at).otherwise(zoned(at)))
+
+    def tried(text: Column, p: str) -> Column:
+        return F.when(text.rlike(shape(p)), F.try_to_timestamp(text, F.lit(p)))
+
+    return _let(named, read)

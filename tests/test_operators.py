@@ -221,3 +221,14 @@ def test_parse_shapes(spark):
     df = spark.createDataFrame(list(shapes.items()), "t string, want string")
     got = {r["t"]: r["d"] for r in df.select("t", timestamps.parse(F.col("t")).cast("string").alias("d")).collect()}
     assert got == shapes
+
+
+def test_parse_reads_a_text_once(spark):
+    """A pattern is tried only where its shape fits, and no step on the text is in the plan once a pattern."""
+    df = spark.createDataFrame([("5 Mar 2024",), ("+12024-03-05",), ("2024-03-05t10:20",), ("1/2/-2024",), ("Mar 5, 2024x",)], "t string").repartition(1)
+    parsed = df.select("t", timestamps.parse(F.col("t")).alias("d"))
+    text = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_replace(") < 10
+    for p in (*timestamps.PATTERNS, *timestamps.MONTH_FIRST, *timestamps.DAY_FIRST):
+        assert df.where(F.try_to_timestamp("t", F.lit(p)).isNotNull() & ~F.col("t").rlike(timestamps.shape(p))).isEmpty()
+    assert [r["t"] for r in parsed.where("d IS NOT NULL").select("t").collect()][:1] == ["5 Mar 2024"]
